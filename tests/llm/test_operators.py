@@ -320,7 +320,7 @@ def test_language_filter_returns_all_languages_of_an_ngram():
 def test_top_k(spark, sf):
     e = T.StructType.fromDDL("vec_id long, embedding array<float>, score int")
     odd = [(0, [1.0, -2.0], 1), (20, [0.5], 1), (20, [0.5], 1), (3, None, 1), (4, [1.0, None], 1), (5, [float("nan"), 1.0], 1), (6, [float("inf")], 1),
-           (7, [], 1), (None, [1.0], 1), (8, [-0.01, 1e30], 1), (40, [0.0, 0.0], 1), (9, [1.0, -2.0], 1)]
+           (7, [], 1), (None, [1.0], 1), (8, [-0.01, 1e6], 1), (40, [0.0, 0.0], 1), (9, [1.0, -2.0], 1)]
     import math
 
     for d in (spark.createDataFrame(odd, e), documents(spark, sf, "embeddings"), spark.createDataFrame([], e)):
@@ -330,10 +330,10 @@ def test_top_k(spark, sf):
         for a, (i, q) in enumerate(rows):
             if i % 20 == 0:
                 s = sorted((-sum(x * y for x, y in zip(q, v, strict=False)), j) for b, (j, v) in enumerate(rows) if a != b)
-                want.update((i, n + 1, j, -x) for n, (x, j) in enumerate(s[:20]) if abs(x) < 2**62)
+                want.update((i, n + 1, j, -x) for n, (x, j) in enumerate(s[:20]))
         for shard in (None, 64):
             got = topk.top_k(d, F.col("vec_id") % 20 == 0, shard=shard)
-            assert Counter(x for x in rows_of(got, "query_id", "rank", "vec_id", "score") if abs(x[3]) < 2**55) == want
+            assert Counter(x for x in rows_of(got, "query_id", "rank", "vec_id", "score")) == want
 
 
 def shingle_sets(rows, size):

@@ -25,9 +25,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df to the shared checkpoint folder and cuts its lineage.
+
+    A checkpoint also carries over the constraints and partitionings of the plan that made it, which
+    double with each round of a loop, and planning time with them; here its rows start a plan afresh.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def parts(df: DataFrame) -> int:

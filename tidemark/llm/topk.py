@@ -104,7 +104,7 @@ def top_k(
     Queries meet candidates in blocks: every block of queries with every shard once; what moves is
     rows times blocks. Vectors that are null or hold a null or a non-finite component, and rows without
     an id, take no part. Shorter vectors count as ending in zeros. Rows that repeat an id are rows of
-    their own: each is a query, and a candidate of the other. Fewer rows than k: all of them.
+    their own: each is a query, and a candidate of the other. Fewer rows than k: all of them. Scores must fit a long.
     """
     v = F.col(vector)
     whole = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -138,8 +138,8 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),

@@ -95,7 +95,7 @@ class UrlModel:
             self.held_out = float(((self.booster.predict(x) > 0.5) == (blocked[held] > 0)).mean())
 
     def _matrix(self, urls: Sequence[str]) -> np.ndarray:
-        return np.array([lexical(u, self.rates) for u in urls], dtype=float).reshape(len(urls), -1)
+        return np.array([lexical(u, self.rates) for u in urls], dtype=float).reshape(len(urls), len(lexical("", {})))
 
     def predict(self, urls: Sequence[str]) -> np.ndarray:
         return self.booster.predict(self._matrix(urls)) if len(urls) else np.zeros(0)
