@@ -78,7 +78,13 @@ class NoticeSearch:
             for lo, hi in spans:
                 for m in self.fuzzy[n].finditer(text, lo, hi):
                     out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return out
+        # of places that overlap, those with the fewest edits
+        out.sort(key=lambda f: (f[3], f[1], f[0]))
+        best: list[tuple[int, int, int, int]] = []
+        for f in out:
+            if all(f[2] <= g[1] or g[2] <= f[1] or f[3] == g[3] for g in best):
+                best.append(f)
+        return sorted(best, key=lambda f: (f[1], f[0]))
 
 
 def scan_licenses(

@@ -60,10 +60,19 @@ def lexical(url: str, rates: dict[str, float]) -> list[float]:
     return [
         len(url), len(host), len(path), path.count("/"), digits / n, entropy, query.count("&") + bool(query), query.count("="),
         host.count("."), host.count("-"), float(url.startswith("https")), float("#" in url), float("." in path.rpartition("/")[2]),
-        *(rates.get(s, rates.get("", 0.5)) for s in suffixes(url)),
+        *backed_off(suffixes(url), rates),
     ]
 
 
+def backed_off(names: Sequence[str], rates: dict[str, float]) -> list[float]:
+    """Each suffix's rate; one that was never seen has that of the next shorter one."""
+    out, last = [], rates.get("", 0.5)
+    for s in names:
+        last = rates.get(s, last)
+        out.append(last)
+    return out
+
+
 def block_rates(urls: Sequence[str], blocked: np.ndarray) -> dict[str, float]:
     """Smoothed share of blocked URLs by suffix; "" has the overall share."""
     n, hits = Counter(), Counter()
