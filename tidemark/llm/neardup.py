@@ -3,17 +3,19 @@
 1. A text's distinct word shingles become 64-bit hashes; equal sets are one class from here on.
 2. A signature has K b-bit minima. It is split into chunks; signatures within `errors` differing
    symbols differ in at most one symbol of some chunk (pigeonhole), so the keys that leave out each
-   symbol of each chunk in turn meet for every such pair.
-3. A key's members are compared in blocks, in numpy, and a pair is given out under one key only.
-   First each class gives its nearest other component, so that groups of near copies join in
-   linear work; then all pairs that still lie in different components are given out. Every pair
-   under the threshold is thus confirmed, or already linked through confirmed pairs.
-4. Candidates are confirmed on the full sets and joined into components by alternating stars.
+   symbol of each chunk in turn meet for every such pair. Pairs that meet are held to a second,
+   longer signature, which tells documents that share a passage from near copies.
+3. A key's members are compared in blocks, in numpy, a pair under one of its keys only. First each
+   class gives its nearest, so that groups of near copies join in linear work. Then the members
+   that still have a candidate in another component meet again with their full sets, and every such
+   pair is tested unless it is linked by then; what leaves a block is links, not candidates.
+4. Links are joined into components by alternating stars, on the executors.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +26,39 @@ from pyspark.sql import functions as F
 
 from .common import bloom, bloom_keep, documents, keyed_min, parts, saved
 
-K = 32
-ERRORS = 11  # at similarity 0.85 a signature has 4.8 differing symbols in the mean; more than 11 in one of 900 pairs
+K = 32  # symbols of 16 bits that the index is built on
+WIDE = 192  # further symbols of 8 bits, for the same test with less spread
+MISSED = 1e-3  # chance that a pair just at the similarity threshold is over the signature's threshold
 BLOCK = 1024
-CHUNKS = tuple(np.array_split(np.arange(K), -(-(ERRORS + 1) // 2)))
-CHUNK_OF = np.concatenate([np.full(len(c), i) for i, c in enumerate(CHUNKS)])
 _RNG = np.random.default_rng(20_240_607)
-_A = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, K, dtype=np.uint64)
+_A = _RNG.integers(0, 2**31, K + WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 2**32, K + WIDE, dtype=np.uint32)
 _S = _RNG.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEY = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLOT = _RNG.integers(1, 2**63, K, dtype=np.uint64)
 
 
+def allowed(symbols: int, similarity: float, missed: float) -> int:
+    """Least number of differing symbols that a pair of that similarity exceeds with at most the chance `missed`."""
+    p, tail, t = 1 - similarity, 1.0, -1
+    while tail > missed:
+        t += 1
+        tail -= math.comb(symbols, t) * p**t * similarity ** (symbols - t)
+    return t
+
+
+class Scheme:
+    """Thresholds and chunks for a similarity of least / of: 11 of 32 and 46 of 192 symbols at 0.85."""
+
+    def __init__(self, least: int, of: int):
+        self.least, self.of = least, of
+        self.errors = allowed(K, least / of, MISSED)
+        self.wide = allowed(WIDE, least / of, MISSED / 4)
+        self.chunks = np.array_split(np.arange(K), (self.errors + 2) // 2)  # one of them has at most one error
+        self.chunk_of = np.concatenate([np.full(len(c), i) for i, c in enumerate(self.chunks)])
+        self.first = np.array([c[0] for c in self.chunks])
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered for the most recent words."""
 
@@ -67,10 +89,15 @@ def shingles(text: bytes, words: WordHashes, size: int) -> np.ndarray:
 
 
 def signature(sh: np.ndarray) -> bytes:
-    low = np.full(K, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(sh), 4096):
-        low = np.minimum(low, (sh[at : at + 4096, None] * _A[None, :] + _B[None, :]).min(axis=0))
-    return (mixed(low) >> np.uint64(48)).astype("<u2").tobytes()
+    """K symbols of two bytes and WIDE of one: the minima of the set under as many permutations."""
+    low = np.full(K + WIDE, np.iinfo(np.uint32).max, dtype=np.uint32)
+    sh = sh.astype(np.uint32)
+    for at in range(0, len(sh), 512):
+        part = sh[at : at + 512, None] * _A[None, :]
+        part += _B[None, :]
+        np.minimum(low, part.min(axis=0), out=low)
+    m = mixed(low.astype(np.uint64))
+    return (m[:K] >> np.uint64(48)).astype("<u2").tobytes() + (m[K:] >> np.uint64(56)).astype("u1").tobytes()
 
 
 def _signed(docs: DataFrame, kind: str, size: int) -> DataFrame:
@@ -110,102 +137,168 @@ def _sets(docs: DataFrame, kind: str, size: int) -> DataFrame:
     return docs.mapInArrow(work, f"nd_id {kind}, nd_digest binary, nd_set array<long>")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, K)
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype="u1").reshape(-1, 2 * K + WIDE)
+    return np.ascontiguousarray(raw[:, : 2 * K]).view("<u2"), raw[:, 2 * K :]
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(scheme: Scheme):
     """(nd_row, nd_sig) -> (key, slot, nd_row): per chunk, the key without each of its symbols in turn."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = _matrix(batch.column(1)).astype(np.uint64)
-        part = mixed((sig + np.uint64(1)) * _KEY[None, :])
-        whole = np.stack([part[:, c].sum(axis=1, dtype=np.uint64) for c in CHUNKS], axis=1)
-        key = mixed(whole[:, CHUNK_OF] - part + _SLOT[None, :]).view(np.int64)
-        rows = np.repeat(batch.column(0).to_numpy(), K)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel()), pa.array(np.tile(np.arange(K, dtype=np.int32), len(sig))), pa.array(rows)], ["key", "slot", "nd_row"]
-        )
-
 
-def _near(nearest: bool, least: int, of: int):
-    """Sorted members of (key, i, j) -> candidate pairs a < b with their distance."""
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        col = {n: t.column(n).to_numpy() for n in ("key", "slot", "i", "j", "block", "nd_row", "nd_n", "comp")}
-        sig = _matrix(t.column("nd_sig").combine_chunks())
-        change = np.zeros(t.num_rows, dtype=bool)
-        change[1:] = (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
-        group = np.cumsum(change)
-        found: list[np.ndarray] = []
-        step = 1
-        while step < t.num_rows:
-            a = np.flatnonzero(group[step:] == group[:-step])
-            if not len(a):
-                break
-            b = a + step
-            step += 1
-            ok = (col["comp"][a] != col["comp"][b]) & ((col["i"][a] == col["j"][a]) | (col["block"][a] != col["block"][b]))
-            small, large = np.minimum(col["nd_n"][a], col["nd_n"][b]), np.maximum(col["nd_n"][a], col["nd_n"][b])
-            ok &= of * small >= least * large
-            a, b = a[ok], b[ok]
-            if not len(a):
-                continue
-            differs = sig[a] != sig[b]
-            d = differs.sum(axis=1)
-            ok = d <= ERRORS
-            a, b, differs, d = a[ok], b[ok], differs[ok], d[ok]
-            if not len(a):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            # Of all keys under which the two meet, one gives them out.
-            per = np.stack([differs[:, c].sum(axis=1) for c in CHUNKS], axis=1)
-            chunk = (per <= 1).argmax(axis=1)
-            inside = differs & (CHUNK_OF[None, :] == chunk[:, None])
-            first = np.array([c[0] for c in CHUNKS])[chunk]
-            slot = np.where(inside.any(axis=1), inside.argmax(axis=1), first)
-            ok = slot == col["slot"][a]
-            if ok.any():
-                found.append(np.stack([a[ok], b[ok], d[ok]]))
-        f = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
-        if nearest and f.shape[1]:  # each member's nearest
-            who, d = np.concatenate([f[0], f[1]]), np.concatenate([f[2], f[2]])
-            at = np.tile(np.arange(f.shape[1]), 2)
-            order = np.lexsort((at, d, who))
-            head = np.ones(len(order), dtype=bool)
-            head[1:] = who[order][1:] != who[order][:-1]
-            f = f[:, np.unique(at[order][head])]
-        x, y = col["nd_row"][f[0]], col["nd_row"][f[1]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(f[2].astype(np.int32))], ["a", "b", "d"]
-        )
+            sig = _matrix(batch.column(1))[0].astype(np.uint64)
+            part = mixed((sig + np.uint64(1)) * _KEY[None, :])
+            whole = np.stack([part[:, c].sum(axis=1, dtype=np.uint64) for c in scheme.chunks], axis=1)
+            key = mixed(whole[:, scheme.chunk_of] - part + _SLOT[None, :]).view(np.int64)
+            rows = np.repeat(batch.column(0).to_numpy(), K)
+            slots = np.tile(np.arange(K, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(slots), pa.array(rows)], ["key", "slot", "nd_row"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return work
+
+
+GROUP = ("key", "i", "j")
+
+
+def _meet(t: pa.Table, scheme: Scheme) -> np.ndarray:
+    """Candidate pairs (positions a < b, distance) within the groups of a sorted table of members.
+
+    Only pairs in different components, and each under one of the keys that it meets under.
+    """
+    col = {n: t.column(n).to_numpy() for n in (*GROUP, "slot", "block", "nd_n", "comp")}
+    sig, wide = _matrix(t.column("nd_sig").combine_chunks())
+    change = np.zeros(t.num_rows, dtype=bool)
+    for n in GROUP:
+        change[1:] |= col[n][1:] != col[n][:-1]
+    group = np.cumsum(change)
+    found: list[np.ndarray] = []
+    for step in range(1, t.num_rows):
+        a = np.flatnonzero(group[step:] == group[:-step])
+        if not len(a):
+            break
+        b = a + step
+        ok = (col["comp"][a] != col["comp"][b]) & ((col["i"][a] == col["j"][a]) | (col["block"][a] != col["block"][b]))
+        small, large = np.minimum(col["nd_n"][a], col["nd_n"][b]), np.maximum(col["nd_n"][a], col["nd_n"][b])
+        ok &= scheme.of * small >= scheme.least * large
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        differs = sig[a] != sig[b]
+        ok = differs.sum(axis=1) <= scheme.errors
+        a, b, differs = a[ok], b[ok], differs[ok]
+        if not len(a):
+            continue
+        per = np.stack([differs[:, c].sum(axis=1) for c in scheme.chunks], axis=1)
+        chunk = (per <= 1).argmax(axis=1)
+        inside = differs & (scheme.chunk_of[None, :] == chunk[:, None])
+        slot = np.where(inside.any(axis=1), inside.argmax(axis=1), scheme.first[chunk])
+        ok = slot == col["slot"][a]
+        a, b = a[ok], b[ok]
+        d = (wide[a] != wide[b]).sum(axis=1)
+        ok = d <= scheme.wide
+        if ok.any():
+            found.append(np.stack([a[ok], b[ok], d[ok]]))
+    return np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+
+
+def _in_groups(work):
+    """Applies work(table) to whole groups of sorted batches. A group has at most two blocks of members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            # keep back the last group, which may go on; a group has at most two blocks of members
-            tail = [t.column(n)[-1].as_py() for n in ("key", "i", "j")]
             last = np.ones(t.num_rows, dtype=bool)
-            for n, v in zip(("key", "i", "j"), tail, strict=True):
-                last &= t.column(n).to_numpy() == v
+            for n in GROUP:
+                last &= t.column(n).to_numpy() == t.column(n)[-1].as_py()
             cut = t.num_rows - int(last.sum())
             if cut:
-                yield pairs(t.slice(0, cut))
+                yield from work(t.slice(0, cut))
             rest = t.slice(cut)
         if rest is not None:
-            yield pairs(rest)
+            yield from work(rest)
 
-    return work
+    return run
+
+
+def _nearest(scheme: Scheme):
+    """Pairs (a, b, d) of each member with its nearest."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        f = _meet(t, scheme)
+        if not f.shape[1]:
+            return
+        who, d, at = np.concatenate([f[0], f[1]]), np.tile(f[2], 2), np.tile(np.arange(f.shape[1]), 2)
+        order = np.lexsort((at, d, who))
+        head = np.append(True, who[order][1:] != who[order][:-1])
+        f = f[:, np.unique(at[order][head])]
+        row = t.column("nd_row").to_numpy()
+        x, y = row[f[0]], row[f[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(f[2].astype(np.int32))], ["a", "b", "d"])
+
+    return _in_groups(work)
+
+
+def _taking_part(scheme: Scheme):
+    """The members that have a candidate."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        f = _meet(t, scheme)
+        if f.shape[1]:
+            yield from t.take(pa.array(np.unique(f[:2]))).combine_chunks().to_batches()
+
+    return _in_groups(work)
+
+
+def _confirmed(scheme: Scheme):
+    """Links (a, b) among members with their sets; a pair that is linked already within its group is not tested."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        f = _meet(t, scheme)
+        row, comp, sets = t.column("nd_row").to_numpy(), t.column("comp").to_numpy(), t.column("nd_set")
+        key = t.column("key").to_numpy()
+        held: dict[int, np.ndarray] = {}
+        up: dict[tuple, tuple] = {}
+
+        def top(x: tuple) -> tuple:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        def of(i: int) -> np.ndarray:
+            if i not in held:
+                held[i] = sets[i].values.to_numpy().view(np.uint64)
+            return held[i]
+
+        links = []
+        for a, b, _ in f[:, np.lexsort((f[1], f[0], f[2], key[f[0]]))].T.tolist():
+            x, y = top((key[a], comp[a])), top((key[b], comp[b]))
+            if x == y:
+                continue
+            u, v = of(a), of(b)
+            inter = len(u) + len(v) - len(np.union1d(u, v))
+            if scheme.of * inter >= scheme.least * (len(u) + len(v) - inter):
+                up[x] = y
+                links.append((row[a], row[b]))
+        if links:
+            ends = np.array(links, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+
+    return _in_groups(work)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node in `edges` (a, b): comp is the least node that it reaches.
 
-    Alternating large and small stars; each round is two joins over the edges, saved to cut lineage.
+    Alternating large and small stars, saved after each to cut lineage. A round's tasks follow the
+    number of edges, which is far below that of documents.
     """
 
     def mark(e: DataFrame):
@@ -213,13 +306,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = mark(e)
+    tasks = min(parts(edges), was[0] // 100_000 + 1)
     while was[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = saved(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.coalesce(tasks))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        more = large.groupBy("u").agg(F.min("v").alias("v"))
+        e = saved(small.union(more).distinct().coalesce(tasks))
         now = mark(e)
         if now == was:
             break
@@ -229,17 +325,27 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def near_labels(edges: DataFrame) -> DataFrame:
+    """(node, comp) such that nodes with one comp are linked; not all that are linked have one.
+
+    A node's least neighbour, and that one's.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    up = low.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return saved(low.join(up, "comp").select("node", F.col("top").alias("comp")))
+
+
 def near_dups(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 3, least: int = 85, of: int = 100
 ) -> DataFrame:
     """One row per row of docs: nd_id, nd_n (set size), nd_component (least id reachable), nd_kept.
 
-    Linked: of * intersection >= least * union over sets of `size`-word shingles, for `least / of` of
-    0.8 and more (the signature's threshold is set for that). Null, empty or blank text: an empty
+    Linked: of * intersection >= least * union over sets of `size`-word shingles. Null, empty or blank text: an empty
     set, linked with nothing, kept. Null ids: rows of their own, after all others. Rows that repeat an
     id and text are one class; of a component's rows, those with its least id are kept. Empty table: no rows.
     """
-    kind = dict(docs.dtypes)[doc_id]
+    kind, scheme = dict(docs.dtypes)[doc_id], Scheme(least, of)
     texts = docs.select(F.col(doc_id).alias("nd_id"), F.col(text).cast("binary").alias("nd_text"))
     rows = saved(_signed(texts, kind, size).withColumn("nd_row", F.monotonically_increasing_id()))
     rows = rows.withColumn("nd_none", F.col("nd_id").isNull())
@@ -254,7 +360,7 @@ def near_dups(
     )
     reps = member.where("nd_sig is not null")
 
-    keys = reps.select("nd_row", "nd_sig").mapInArrow(_index, "key long, slot int, nd_row long")
+    keys = reps.select("nd_row", "nd_sig").mapInArrow(_index(scheme), "key long, slot int, nd_row long")
     live = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     kept = bloom_keep(keys, "key", bloom(live, F.col("key"), live.count()))
     held = kept.join(live, "key").join(reps.select("nd_row", "nd_n", "nd_sig"), "nd_row")
@@ -262,50 +368,42 @@ def near_dups(
     mine = F.pmod(F.xxhash64("nd_row"), F.col("blocks")).cast("int")
     held = saved(held.withColumn("blocks", blocks).withColumn("block", mine).drop("n"))
 
-    def candidates(comp: DataFrame | None, nearest: bool) -> DataFrame:
+    def grouped(m: DataFrame) -> DataFrame:
+        return m.repartition(parts(docs), *GROUP).sortWithinPartitions(*GROUP)
+
+    def members(comp: DataFrame | None) -> DataFrame:
         m = held.withColumn("comp", F.col("nd_row"))
         if comp is not None:
             m = held.join(comp, held.nd_row == comp.node, "left").withColumn("comp", F.coalesce("comp", "nd_row")).drop("node")
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "block", "nd_row", "nd_n", "comp", "nd_sig")
-        m = m.repartition(parts(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return m.mapInArrow(_near(nearest, least, of), "a long, b long, d int")
-
-    def one_each(p: DataFrame) -> DataFrame:
-        ends = p.select(F.col("a").alias("who"), "a", "b", "d").union(p.select(F.col("b").alias("who"), "a", "b", "d"))
-        best = ends.groupBy("who").agg(F.min(F.struct("d", "a", "b")).alias("p"))
-        return best.select("p.a", "p.b").distinct()
-
-    sets, tested, links, comp = None, None, None, None
-    for nearest in (True, True, False):
-        found = candidates(comp, nearest)
-        pairs = one_each(found) if nearest else found.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        if sets is None:
-            # Any class with a candidate has its nearest here, so these are all the sets ever needed.
-            used = pairs.select(F.col("a").alias("nd_row")).union(pairs.select(F.col("b").alias("nd_row"))).distinct()
-            used = saved(used.join(reps.select("nd_row", "nd_id", "nd_digest"), "nd_row"))
-            some = bloom_keep(texts, "nd_id", bloom(used, F.col("nd_id"), used.count()))
-            sets = _sets(some, kind, size).join(used.select("nd_row", "nd_digest"), "nd_digest")
-            sets = saved(sets.dropDuplicates(["nd_row"]).select("nd_row", "nd_set"))
-        if pairs.isEmpty():
-            continue
-        a, b = (sets.select(F.col("nd_row").alias(x), F.col("nd_set").alias(f"{x}_set")) for x in "ab")
-        inter = F.size(F.array_intersect("a_set", "b_set"))
-        union = F.size("a_set") + F.size("b_set") - F.col("inter")
-        linked = saved(pairs.join(a, "a").join(b, "b").withColumn("inter", inter).where(of * F.col("inter") >= least * union).select("a", "b"))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = linked if links is None else comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(linked)
-        comp = saved(components(links))
-
-    if comp is None:
-        label = member.limit(0).select("rep", F.col("rep_id").alias("label"))
-    else:
-        named = comp.join(reps, comp.node == reps.nd_row).select("node", "comp", "nd_id", F.col("nd_id").isNull().alias("nd_none"))
-        low = named.groupBy("comp").agg(F.min(F.struct("nd_none", "nd_id")).alias("low"))
-        label = saved(named.join(low, "comp").select(F.col("node").alias("rep"), F.col("low.nd_id").alias("label")))
+        pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+        return grouped(m.select("key", *pair, "slot", "block", "nd_row", "nd_n", "comp", "nd_sig"))
+
+    # First each class's nearest: in linear work, most near copies are in a component already.
+    near = members(None).mapInArrow(_nearest(scheme), "a long, b long, d int")
+    ends = near.select(F.col("a").alias("who"), "a", "b", "d").union(near.select(F.col("b").alias("who"), "a", "b", "d"))
+    best = ends.groupBy("who").agg(F.min(F.struct("d", "a", "b")).alias("p"))
+    pairs = saved(best.select("who", "p.a", "p.b"))
+    # Any class with a candidate is in there, so these are all the sets ever needed.
+    used = saved(pairs.select(F.col("who").alias("nd_row")).join(reps.select("nd_row", "nd_id", "nd_digest"), "nd_row"))
+    some = bloom_keep(texts, "nd_id", bloom(used, F.col("nd_id"), used.count())) if used.where("nd_id is null").isEmpty() else texts
+    sets = _sets(some, kind, size).join(used.select("nd_row", "nd_digest"), "nd_digest")
+    sets = saved(sets.dropDuplicates(["nd_row"]).select("nd_row", "nd_set"))
+    a, b = (sets.select(F.col("nd_row").alias(x), F.col("nd_set").alias(f"{x}_set")) for x in "ab")
+    inter = F.size(F.array_intersect("a_set", "b_set"))
+    union = F.size("a_set") + F.size("b_set") - F.col("inter")
+    near = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").withColumn("inter", inter)
+    near = near.where(of * F.col("inter") >= least * union).select("a", "b")
+    near = saved(near)
+    comp = near_labels(near)
+    # Then every pair that still lies in two components, confirmed where its group is.
+    left = members(comp).mapInArrow(_taking_part(scheme), members(comp).schema)
+    links = grouped(left.join(sets, "nd_row")).mapInArrow(_confirmed(scheme), "a long, b long")
+    comp = saved(components(near.union(links)))
+
+    named = comp.join(reps, comp.node == reps.nd_row).select("node", "comp", "nd_id", F.col("nd_id").isNull().alias("nd_none"))
+    low = named.groupBy("comp").agg(F.min(F.struct("nd_none", "nd_id")).alias("low"))
+    label = saved(named.join(low, "comp").select(F.col("node").alias("rep"), F.col("low.nd_id").alias("label")))
     full = member.join(label, "rep", "left").select(
         "nd_id", "nd_n", F.coalesce("label", "rep_id").alias("nd_component"), F.col("nd_row")
     )
