@@ -22,7 +22,7 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-SAMPLE = 20_000  # labelled URLs that the trees are fitted on at most
+SAMPLE = 20_000  # labelled URLs that the trees are fitted on, about
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -111,10 +111,13 @@ class UrlModel:
 
 
 def fit(pages: DataFrame, *, url: str = "url", rules=RULES, sample: int = SAMPLE) -> UrlModel:
-    """Fits on URLs that a rule labels: at most `sample` distinct ones, the first by a hash."""
+    """Fits on URLs that a rule labels: about `sample` distinct ones, those with the least hashes."""
     host, path = host_and_path(F.col(url))
     labelled = pages.select(F.col(url).alias("u"), ruled(host, path, rules)[1].alias("v")).where("v is not null").distinct()
-    rows = labelled.orderBy(F.xxhash64("u"), "u").limit(sample).collect()
+    h = F.xxhash64("u")
+    n = labelled.count()
+    rows = labelled.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(1, n)))).select("u", "v", h.alias("h")).collect()
+    rows.sort(key=lambda r: (r.h, r.u))
     return UrlModel([r.u for r in rows], np.array([r.v == "block" for r in rows], dtype=float))
 
 
