@@ -34,7 +34,7 @@ WIDE = {
     "phone": r"(?<![0-9A-Za-z])(?:\+ ?|00)?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 }
 KEYWORDS = r"(?i)mail|contact|phone|tel|call|fax|mobil|card|visa|konto|ip|host|server|addr"
-SAMPLE_DOCS = 3000  # documents that the trees are fitted on at most
+SAMPLE_DOCS = 3000  # documents that the trees are fitted on, about
 SAMPLE_CHARS = 20_000  # of each, at most
 PRECISION = 0.98  # held-out precision that a threshold must reach
 FEATURES = ("kind", "chars", "digits", "separators", "plus", "at", "dots", "luhn", "octets", "before", "after", "keyword", "spaces", "letters")
@@ -140,21 +140,25 @@ class PiiModel:
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> PiiModel:
-    """Fits the trees on candidates of at most sample_docs documents, the first by a hash.
+    """Fits the trees on candidates of about sample_docs documents, those with the least hashes.
 
     A candidate is a positive if the rules confirm just this span as its kind. A quarter of the
     sample calibrates scores and thresholds and is not fitted on.
     """
     body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS)
     h = F.xxhash64(F.lit(5), F.col(doc_id))
-    some = docs.select(h.alias("h"), body.alias("t")).where(F.rlike("t", F.lit("[0-9@]"))).orderBy("h").limit(sample_docs)
+    some = docs.select(h.alias("h"), body.alias("t")).where(F.rlike("t", F.lit("[0-9@]")))
+    n = some.count()
+    # a threshold on the hash: no task gathers the sample, and it is as large whatever the table's size
+    some = some.where(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample_docs / max(1, n))))
     some = some.select("h", "t", F.concat(*base_spans(F.col("t"))).alias("base"), wide_spans(F.col("t")).alias("wide"))
     each = some.select("h", "t", "base", F.explode("wide").alias("c"))
     label = F.exists("base", lambda b: same_span(b, F.col("c"))).cast("double")
     rows = each.select("h", label.alias("y"), F.array(*features(F.col("t"), F.col("c"))).alias("x")).collect()
+    rows.sort(key=lambda r: (r.h, r.x))
     x = np.array([r.x for r in rows], dtype=float).reshape(-1, len(FEATURES))
     y = np.array([r.y for r in rows], dtype=float)
-    held = np.array([r.h % 4 == 0 for r in rows], dtype=bool)
+    held = np.array([(r.h >> 42) % 4 == 0 for r in rows], dtype=bool)
     booster = Booster(rounds=16, depth=3).fit(x[~held], y[~held]).calibrate(x[held], y[held])
     score = booster.predict(x[held]) if held.any() else np.zeros(0)
     out = []
