@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boost import Booster
-from .common import documents
+from .common import documents, saved
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns. Possessive repeats and the guards in front leave the matches as they are:
@@ -150,7 +150,8 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_d
     some = docs.select(h.alias("h"), body.alias("t")).where(F.rlike("t", F.lit("[0-9@]")))
     n = some.count()
     # a threshold on the hash: no task gathers the sample, and it is as large whatever the table's size
-    some = some.where(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample_docs / max(1, n))))
+    # saved, or the planner would look for spans in every row before it cuts the sample
+    some = saved(some.where(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample_docs / max(1, n)))))
     some = some.select("h", "t", F.concat(*base_spans(F.col("t"))).alias("base"), wide_spans(F.col("t")).alias("wide"))
     each = some.select("h", "t", "base", F.explode("wide").alias("c"))
     label = F.exists("base", lambda b: same_span(b, F.col("c"))).cast("double")
