@@ -106,15 +106,17 @@ class LanguageFilter:
 def learned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> LanguageFilter:
     """A filter from labelled rows outside the held-out third (crc32 of the id as text, mod 3, is 1).
 
-    About per_lang rows of each language, by a hash of their text: a bounded sample, fixed by the data.
+    About per_lang rows of each language at most, by a hash of id and text: a bounded sample, fixed by the
+    data. Rows that repeat, null ids included, share a hash and count once, so none of them floods the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(doc_id)), F.lit(False)))
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).count().collect()}
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col(lang) == name, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    spin = F.pmod(F.xxhash64(F.lit(3), F.col(doc_id)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(spin < share).select(F.col(lang), F.substring(F.col(text), 1, SAMPLE_CHARS)).collect()
+    spin = F.pmod(F.xxhash64(F.lit(3), F.col(doc_id), F.col(text)), F.lit(1 << 20)) / float(1 << 20)
+    some = rows.where(spin < share).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"))
+    sample = some.distinct().select("lang", "text").collect()
     return LanguageFilter(sorted(counts)).learn(sorted(map(tuple, sample)))
 
 
