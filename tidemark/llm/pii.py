@@ -146,12 +146,13 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_d
     sample calibrates scores and thresholds and is not fitted on.
     """
     body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS)
-    h = F.xxhash64(F.lit(5), F.col(doc_id))
+    h = F.xxhash64(F.lit(5), F.col(doc_id), F.col(text))
     some = docs.select(h.alias("h"), body.alias("t")).where(F.rlike("t", F.lit("[0-9@]")))
     n = some.count()
     # a threshold on the hash: no task gathers the sample, and it is as large whatever the table's size
     # saved, or the planner would look for spans in every row before it cuts the sample
-    some = saved(some.where(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample_docs / max(1, n)))))
+    # distinct: rows that repeat share a hash, and count once
+    some = saved(some.where(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample_docs / max(1, n)))).distinct())
     some = some.select("h", "t", F.concat(*base_spans(F.col("t"))).alias("base"), wide_spans(F.col("t")).alias("wide"))
     each = some.select("h", "t", "base", F.explode("wide").alias("c"))
     label = F.exists("base", lambda b: same_span(b, F.col("c"))).cast("double")
