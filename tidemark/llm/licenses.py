@@ -78,12 +78,22 @@ class NoticeSearch:
             for lo, hi in spans:
                 for m in self.fuzzy[n].finditer(text, lo, hi):
                     out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-        # of places that overlap, those with the fewest edits
-        out.sort(key=lambda f: (f[3], f[1], f[0]))
+        # of places that overlap, those with the fewest edits; only places in one run of overlaps are compared
+        out.sort(key=lambda f: (f[1], f[0]))
         best: list[tuple[int, int, int, int]] = []
-        for f in out:
-            if all(f[2] <= g[1] or g[2] <= f[1] or f[3] == g[3] for g in best):
-                best.append(f)
+        run: list[tuple[int, int, int, int]] = []
+        end = -1
+        for f in [*out, None]:
+            if f is None or f[1] >= end:
+                kept: list[tuple[int, int, int, int]] = []
+                for x in sorted(run, key=lambda x: (x[3], x[1], x[0])):
+                    if all(x[2] <= g[1] or g[2] <= x[1] or x[3] == g[3] for g in kept):
+                        kept.append(x)
+                best += kept
+                run = []
+            if f is not None:
+                run.append(f)
+                end = max(end, f[2])
         return sorted(best, key=lambda f: (f[1], f[0]))
 
 
