@@ -19,20 +19,44 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.where(F.col("li_lang") != "und").select(*docs.columns)
 
 
-def _stay(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs' rows that are kept, by id; of rows that share an id, as many as are kept."""
-    return docs.join(kept, "doc_id", "left_semi")
+def _named(docs: DataFrame) -> DataFrame:
+    """(name, text): a row's name is its id, null after all others, and a hash of its text."""
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return docs.select(name.alias("name"), "text")
+
+
+def _stay(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose name `found` (name, kept) keeps; one row for each name.
+
+    Rows that share an id but not a text have names of their own, and so have rows without an id. Of
+    rows that repeat a name, the one whose other columns come first stays.
+    """
+    names = found.groupBy("name").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    names = saved(names.where("kept").select(F.col("name.id").alias("n_id"), F.col("name.hash").alias("n_hash"), "n"))
+
+    def those(which: DataFrame) -> DataFrame:
+        return docs.join(which, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.xxhash64("text") == F.col("n_hash")), "left_semi")
+
+    again = names.where("n > 1")
+    if again.isEmpty():
+        return those(names)
+    first = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("first")
+    one = those(again).groupBy("doc_id", F.xxhash64("text").alias("n_hash")).agg(first).select("first.*")
+    return those(names.where("n = 1")).unionByName(one)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _stay(docs, exact_dedup(docs.select("doc_id", "text")).where("dd_kept").select(F.col("dd_id").alias("doc_id")))
+    """One document of each group of equal texts: that with the smallest id."""
+    return _stay(docs, exact_dedup(_named(docs), doc_id="name").select(F.col("dd_id").alias("name"), F.col("dd_kept").alias("kept")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    found = near_dups(docs.select("doc_id", "text"), size=5, least=80)
-    return _stay(docs, found.where("nd_kept").select(F.col("nd_id").alias("doc_id")))
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Documents without words are linked with nothing and stay.
+    """
+    found = near_dups(_named(docs), doc_id="name", size=5, least=80)
+    return _stay(docs, found.select(F.col("nd_id").alias("name"), F.col("nd_kept").alias("kept")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -424,6 +424,58 @@ def test_pipeline_stages(spark, sf):
             assert {r.doc_id for r in d.select("doc_id").collect()} == {i for i, _ in before}
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Rows without an id, rows that share an id, repeated rows and an empty table, stage by stage."""
+    import corpus_pipeline as p
+
+    d = odd.selectExpr("doc_id", "text", "lang", "source", "first AS n_chars")
+    d = d.union(spark.createDataFrame([(7, "one", "fr", "c", 2), (None, "another without id", "en", "a", 3), (None, None, None, None, None)], d.schema))
+    stages = dict(p.STAGES)
+    told = stages["language"](spark, d, "")
+    assert Counter(rows_of(told, "doc_id", "text")) == Counter(x for x in rows_of(d, "doc_id", "text") if any(c.isalpha() for c in x[1] or ""))
+    for given in (told, d):  # a stage has to bear rows that the one before would have dropped
+        once = stages["exact_dedup"](spark, given, "")
+        groups = defaultdict(list)
+        for i, t in rows_of(given, "doc_id", "text"):
+            groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append((i is None, i))
+        got = Counter((re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i) for i, t in rows_of(once, "doc_id", "text"))
+        assert got == Counter((t, min(ids, key=lambda x: (x[0], x[1] or 0))[1]) for t, ids in groups.items())
+        apart = stages["near_dedup"](spark, once, "")
+        assert apart.columns == d.columns
+        texts = [t or "" for _, t in rows_of(apart, "doc_id", "text")]
+        sets = [s for _, s in shingle_sets(enumerate(texts), 5)]
+        assert sum(not s for s in sets) == sum(not (t or "").strip() for _, t in rows_of(once, "doc_id", "text"))
+        filled = [s for s in sets if s]
+        assert all(100 * len(x & y) < 80 * len(x | y) for k, x in enumerate(filled) for y in filled[:k])
+        assert {frozenset(s) for s in filled} <= {frozenset(s) for _, s in shingle_sets(rows_of(once, "doc_id", "text"), 5)}
+        assert sum(t.startswith(("no id", "another")) for t in texts) == 2
+    none = d.limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+
+
+def test_samples_count_repeated_rows_once(spark, monkeypatch):
+    """A third of all rows alike and without an id: the sample that goes to the driver stays bounded."""
+    same = [(None, "mail a.b@c.de or call +1 988 555 2485 now", "en")] * 3000
+    rest = [(i, f"text {i} with words and x{i}@y.de", "en") for i in range(3000)]
+    d = spark.createDataFrame(same + rest, "doc_id long, text string, lang string")
+    sizes, learn = [], langid.LanguageFilter.learn
+    monkeypatch.setattr(langid.LanguageFilter, "learn", lambda self, texts: (sizes.append(len(texts)), learn(self, texts))[1])
+    for per_lang in (100, 6000):
+        assert langid.learned(d, per_lang=per_lang).langs == ["en"]
+    assert 0 < sizes[0] < 200 and sizes[1] <= 3001
+    assert len(pii.fit(d, sample_docs=100).thresholds) == 4
+
+
+def test_places_of_many_notices_in_one_text():
+    import time
+
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    at = time.perf_counter()
+    found = search.find("released under the mit license and so on " * 20_000)
+    assert len(found) == 20_000 and time.perf_counter() - at < 20
+
+
 def test_queries_match_their_sql(spark, tiny):
     import glob
     import os
