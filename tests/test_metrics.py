@@ -200,3 +200,52 @@ def test_streaming_matches_batch(spark, sf, tmp_path):
     batch = {key(r): r for r in windowed_metrics(e, ["event_type"], names=names).collect()}
     assert live.keys() == batch.keys()
     assert all(live[k].volatility == pytest.approx(batch[k].volatility) for k in batch)
+
+
+def test_every_metric_by_name(spark):
+    from tidemark.plans import api
+
+    d = table(spark, a=[0.01, -0.02, 0.015, -0.01, 0.02, 0.005, -0.008, 0.012, -0.003, 0.018], z=[0.02, -0.01, 0.0, 0.03, -0.02])
+    d, key = d.withColumn("r", F.when(F.col("r") != 0, F.col("r"))), "k"  # a null among the values
+    s = api.of(d.withColumn("b", F.col("r") * 0.8), [key], b="b")
+    full = {r[key]: r for r in report.full_metrics(s.df, [key], b="b").collect()}
+    for name in (*m.BASIC, *m.BENCHMARK, "cvar", "max_drawdown", "ulcer_index", "consecutive_wins", "consecutive_losses", "calmar", "recovery_factor", "ulcer_performance_index", "expected_return"):
+        rows = getattr(s, name)().collect()
+        assert {r[key] for r in rows} == set(full)
+        for r in rows:
+            if name in full[r[key]]:
+                assert r[name] == pytest.approx(full[r[key]][name], nan_ok=True), name
+    assert [tuple(r) for r in s.select("sharpe", "beta").orderBy(key).collect()] == [(k, pytest.approx(full[k].sharpe), pytest.approx(1.25)) for k in sorted(full)]
+    assert s.greeks().columns == [key, "alpha", "beta"] and s.rolling_greeks(period=3).columns == [*s.df.columns, "rolling_alpha", "rolling_beta"]
+    assert s.rolling_volatility(period=3).count() == s.drawdown_series().count() == 14
+    for r in s.probabilistic_sharpe_ratio().join(s.deflated_sharpe_ratio(10), key).collect():
+        assert r.psr + r.p_value == pytest.approx(1) and 0 <= r.dsr <= r.psr <= 1
+    for name in report.SECTIONS:
+        assert getattr(s, f"{name}_metrics")().columns == [key, *report.SECTIONS[name]]
+    with pytest.raises(ValueError):
+        api.of(d, [key]).beta()
+    with pytest.raises(AttributeError):
+        s.no_such_metric
+
+
+def test_validation(spark):
+    from tidemark import errors
+    from tidemark.operators import validation as v
+
+    d = spark.createDataFrame([(0, 1, "x"), (1, None, "y")], "t int, r int, s string")
+    assert [tuple(r) for r in v.validate_returns(d).collect()] == [(0, 1.0, "x")]
+    assert v.validate_returns(d, drop_nulls=False).count() == 2 and v.validate_returns(d.limit(0), allow_empty=True).count() == 0
+    with pytest.raises(TypeError):
+        v.validate_returns(d, "s")
+    with pytest.raises(errors.EmptySeriesError):
+        v.validate_returns(d.where("t = 1"))
+    v.validate_min_length(d, 2)
+    with pytest.raises(errors.InsufficientDataError):
+        v.validate_min_length(d, 3, "sharpe")
+    v.validate_benchmark_match(d, d, ["t"])
+    with pytest.raises(errors.BenchmarkMismatchError):
+        v.validate_benchmark_match(d, d.limit(1), ["t"])
+    for check, bad in ((v.validate_positive, 0), (v.validate_probability, 1.5)):
+        with pytest.raises(ValueError):
+            check(bad)
+        check(0.5)
