@@ -249,3 +249,17 @@ def test_validation(spark):
         with pytest.raises(ValueError):
             check(bad)
         check(0.5)
+
+
+def test_monthly_returns_have_every_year(spark, sf):
+    import duckdb
+
+    got = catalog.QUERIES["monthly_returns"](spark, sf)
+    want = duckdb.sql(f"""WITH s AS (SELECT CAST(l_shipdate AS DATE) AS t, sum(CAST(round(l_discount * 100) AS INT) - 5) / (count(*) * 100.0::DOUBLE) AS r
+        FROM '{sf}/lineitem.parquet' GROUP BY 1) SELECT month(t), CAST(year(t) AS VARCHAR), product(1 + r) - 1 FROM s GROUP BY 1, 2""").fetchall()
+    assert got.columns == ["month", *sorted({y for _, y, _ in want})]
+    cells = {(r.month, y): r[y] for r in got.collect() for y in got.columns[1:] if r[y] is not None}
+    assert cells == pytest.approx({(m_, y): v for m_, y, v in want}, abs=1e-8)
+    d = spark.sql("SELECT DATE'2020-01-05' AS t, 0.1D AS r UNION ALL SELECT DATE'2031-01-05', 0.2D UNION ALL SELECT DATE'2040-01-05', NULL")
+    assert ordered.monthly_returns(d, "t").columns == ["month", "2020", "2031"]
+    assert ordered.monthly_returns(d.limit(0), "t").count() == 0

@@ -174,10 +174,12 @@ def period_returns(df: DataFrame, key: Keys, date: str, unit: str, r: str = "r",
     return d.groupBy(*key, label.alias("period")).agg(out.alias("ret"))
 
 
-def monthly_returns(df: DataFrame, date: str, years: list[int], r: str = "r", compounded: bool = True) -> DataFrame:
-    """A row per month, a column per year."""
+def monthly_returns(df: DataFrame, date: str, years: list[int] | None = None, r: str = "r", compounded: bool = True) -> DataFrame:
+    """A row per month, a column per year; without `years`, for every year of the series, which one small aggregate finds."""
     out = F.product(1.0 + F.col(r)) - 1.0 if compounded else F.sum(r)
     d = clean(df, r).withColumn("year", F.year(date))
+    if years is None:
+        years = sorted(x.year for x in d.where("year IS NOT NULL").select("year").distinct().collect())
     return d.groupBy(F.month(date).alias("month")).pivot("year", years).agg(out)
 
 

@@ -236,7 +236,7 @@ YEARS = list(range(1992, 1999))
 
 @query("monthly_returns", cte(key="1 AS one") + f" SELECT CAST(month(t) AS INT) AS month, {', '.join(f'round(product(1 + r) FILTER (WHERE year(t) = {y}) - 1, 8) + 0.0 AS "{y}"' for y in YEARS)} FROM s GROUP BY 1")
 def monthly_returns(spark, sf):
-    return shown(ordered.monthly_returns(series.daily(spark, sf, []), "t", YEARS))
+    return shown(ordered.monthly_returns(series.daily(spark, sf, []), "t"))
 
 
 _PERIODS = " UNION ALL ".join(f"SELECT {K}, '{u}' AS frequency, {label} AS period, product(1 + r) - 1 AS ret FROM s GROUP BY ALL" for u, label in LABELS.items())
