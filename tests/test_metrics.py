@@ -263,3 +263,26 @@ def test_monthly_returns_have_every_year(spark, sf):
     d = spark.sql("SELECT DATE'2020-01-05' AS t, 0.1D AS r UNION ALL SELECT DATE'2031-01-05', 0.2D UNION ALL SELECT DATE'2040-01-05', NULL")
     assert ordered.monthly_returns(d, "t").columns == ["month", "2020", "2031"]
     assert ordered.monthly_returns(d.limit(0), "t").count() == 0
+
+
+def test_newey_west_lags_grow_with_the_series(spark, sf):
+    def want(xs, lags=None):
+        n, x = len(xs), np.asarray(xs) - np.mean(xs)
+        lags = max(1, min(math.floor(4 * (n / 100) ** (2 / 9)), n - 2)) if lags is None else lags
+        s = x @ x + sum(2 * (1 - j / (lags + 1)) * (x[j:] @ x[:-j]) for j in range(1, min(lags, n - 1) + 1))
+        return math.sqrt(s / n / n) if n > 1 and s > 0 else 0.0
+
+    rng = np.random.default_rng(3)
+    xs = {f"n{n}": np.convolve(rng.normal(0, 0.01, n + 9), np.ones(10), "valid") for n in (1, 2, 3, 4, 50, 272, 273, 1000, 2450)}
+    got = {r.k: r.newey_west_se for r in ordered.newey_west_se(table(spark, **xs), ["k"]).collect()}
+    assert got == pytest.approx({k: want(x) for k, x in xs.items()})
+    five = {r.k: r.newey_west_se for r in ordered.newey_west_se(table(spark, **xs), ["k"], lags=5).collect()}
+    assert five == pytest.approx({k: want(x, 5) for k, x in xs.items()})
+    by = {}
+    for r in catalog.series.daily(spark, sf).orderBy("t").collect():
+        by.setdefault((r.l_returnflag, r.l_linestatus), []).append(r.r)
+    rows = catalog.QUERIES["newey_west_se"](spark, sf).collect()
+    assert {tuple(r[:2]): r.newey_west_se for r in rows} == pytest.approx({k: want(x) for k, x in by.items()}, abs=1e-8)
+    edge = spark.sql("SELECT floor(4 * pow(51200 / 100.0D, 2 / 9.0D)) AS n").first().n  # 15.999... in the reference's arithmetic
+    assert edge == math.floor(4 * (51200 / 100) ** (2 / 9))
+    assert ordered.newey_west_se(table(spark, **xs).limit(0), ["k"]).count() == 0

@@ -80,15 +80,22 @@ def smart_penalty(autocorr: Column) -> Column:
     return F.when(p > 0, F.sqrt(p))
 
 
-def newey_west_se(df: DataFrame, key: Keys, t: str = "t", r: str = "r", lags: int = 5) -> DataFrame:
-    """Standard error of the mean with Bartlett weights over `lags` lagged products."""
-    d = clean(df, r).withColumn("x", F.col(r) - F.avg(r).over(Window.partitionBy(*key)))
-    d = d.withColumns({f"x{j}": F.lag("x", j).over(w(key, t)) for j in range(1, lags + 1)})
+def newey_west_se(df: DataFrame, key: Keys, t: str = "t", r: str = "r", lags: int | None = None) -> DataFrame:
+    """Standard error of the mean with Bartlett weights over `lags` lagged products.
+
+    Without `lags`, each key's number is max(1, min(floor(4 (n / 100)^(2/9)), n - 2)) for its n returns; one
+    small aggregate finds the largest, up to which lags are computed.
+    """
+    d = clean(df, r)
     n = F.count("*")
+    own = F.greatest(F.lit(1), F.least(F.floor(4 * F.pow(n / 100.0, F.lit(2 / 9))), n - 2)) if lags is None else F.lit(lags)
+    most = (d.groupBy(*key).agg(own.alias("lags")).agg(F.max("lags")).first()[0] or 1) if lags is None else lags
+    d = d.withColumn("x", F.col(r) - F.avg(r).over(Window.partitionBy(*key)))
+    d = d.withColumns({f"x{j}": F.lag("x", j).over(w(key, t)) for j in range(1, most + 1)})
     gamma = lambda j: F.coalesce(F.sum(F.col("x") * F.col(f"x{j}" if j else "x")), F.lit(0.0)) / n
     s = gamma(0)
-    for j in range(1, lags + 1):
-        s = s + 2 * (1 - j / (lags + 1)) * gamma(j)
+    for j in range(1, most + 1):
+        s = s + 2 * F.greatest(1 - j / (own + 1), F.lit(0.0)) * gamma(j)
     return d.groupBy(*key).agg(F.when(s > 0, F.sqrt(F.greatest(s, F.lit(0.0)) / n)).otherwise(0.0).alias("newey_west_se"))
 
 
