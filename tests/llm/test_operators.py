@@ -72,6 +72,28 @@ def test_mix(spark, odd, docs):
         assert sum(target.values()) == pytest.approx(min(1.5 * sum(sizes.values()), 2 * sum(sizes.values())))
 
 
+def test_mix_tells_apart_rows_without_an_id(spark):
+    """Null ids and shared ids with texts of their own, and a long run of equal rows: half a document off at most."""
+    text = lambda i: f"t{i} " + "w " * (i % 7)
+    rows = [(None if i % 5 else 7, text(i), "fr", "a", i) for i in range(300)]  # no id, or one that 60 rows share
+    rows += [(None, "the same words", "fr", "b", 1)] * 301 + [(i, text(i), "fr", "c", i) for i in range(40)]
+    rows += [(5, "x y", "de", None, 1)] * 7
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for given in (d, d.select("doc_id", "source", "text")):
+        taken, target, largest, left = Counter(), {}, Counter(), Counter()
+        got, again = mix.mix(given).collect(), mix.mix(given.repartition(5)).collect()
+        shown = lambda r: (str(r.doc_id), r.text, str(r.mix_draws))
+        assert len(got) == len(rows) and Counter(map(shown, got)) == Counter(map(shown, again))
+        for r in got:
+            taken[r.source] += r.mix_size * len(r.mix_draws)
+            target[r.source] = r.mix_target
+            largest[r.source] = max(largest[r.source], r.mix_size)
+            left[r.source, len(r.mix_draws)] += 1
+        for s, t in target.items():
+            assert abs(taken[s] - t) <= largest[s] / 2, s
+        assert left["b", 0] or left["b", 1], "the equal rows are cut one by one"
+
+
 def test_targets_share_what_full_sources_cannot_take():
     got = mix.targets({"a": 10, "b": 1000, None: 500})
     assert got["a"] == 20

@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -84,13 +84,15 @@ def mix(
     mix_draws: one struct(pass, shard, place) for each time the mix takes the row, 0 to `most` of
     them; explode it and sort by place within a shard for the shuffled mix.
 
-    Null source: a source of its own, last. Null or blank text: size 0, never drawn. Equal rows fall
-    into one block and are drawn alike. Empty table: no rows. A column of docs may have any name but
-    one that starts with `mix_`.
+    Null source: a source of its own, last. Null or blank text: size 0, never drawn. A row is known by
+    all its columns (but maps), so rows that share an id, or have none, are drawn apart. Equal rows fall
+    into one block and are drawn alike, but for those that the target cuts: as many of them as fit.
+    Empty table: no rows. A column of docs may have any name but one that starts with `mix_`.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(F.lit(seed), F.col(doc_id))
+    rest = [c for c, t in docs.dtypes if "map<" not in t and t != "variant" and c not in (doc_id, text)]
+    key = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in (doc_id, text, *rest)))
     keyed = docs.withColumns({"mix_size": size, "mix_key": key})
     narrow = saved(keyed.select(F.col(source).alias("mix_source"), "mix_size", "mix_key"))
     n_sources = narrow.agg(F.count_distinct(F.coalesce(F.concat(F.lit("s"), "mix_source"), F.lit("n")))).first()[0]
@@ -137,7 +139,8 @@ def mix(
         + [T.StructField("p_draws", T.ArrayType(T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("shard", T.IntegerType())])))]
     )
     plan = spark.createDataFrame([(s, b, x) for (s, b), x in draws.items()], kind)
-    # Of the one block per source that the target cuts: whole documents by key, up to the nearest word count.
+    # Of the one block per source that the target cuts: whole documents by key, equal ones one by one, up to
+    # the nearest word count.
     cut = spark.createDataFrame(edge, "e_source string, e_block int, e_pass int, e_left double")
     at_edge = narrow.withColumn("block", block).join(
         F.broadcast(cut), F.col("mix_source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block"))
@@ -146,17 +149,18 @@ def mix(
     last = (
         at_edge.where("mix_size > 0")
         .groupBy("e_source", "e_block", "e_pass", "e_left", "mix_key")
-        .agg(F.sum("mix_size").alias("mix_size"))
-        .withColumn("upto", F.sum("mix_size").over(w))
-        .where(F.col("upto") - F.col("mix_size") / 2 <= F.col("e_left"))
+        .agg(F.max("mix_size").alias("mix_size"), F.count("*").alias("copies"))
+        .withColumn("before", F.sum(F.col("mix_size") * F.col("copies")).over(w) - F.col("mix_size") * F.col("copies"))
+        .withColumn("fit", F.floor((F.col("e_left") - F.col("before")) / F.col("mix_size") + 0.5))
+        .where("fit >= 1")
         .groupBy("e_source", "e_block", "e_pass")
-        .agg(F.max("mix_key").alias("key"))
+        .agg(F.max_by(F.struct("mix_key", "fit", "copies"), "mix_key").alias("end"))
         .collect()
     )  # a row per source at most
-    ends = {r.e_source: (r.e_block, r.e_pass, r.key) for r in last}
+    ends = {r.e_source: (r.e_block, r.e_pass, r.end.mix_key, r.end.fit if r.end.fit < r.end.copies else None) for r in last}
     per_source = spark.createDataFrame(
-        [(s, sizes[s], goal[s], *ends.get(s, (None, None, None))) for s in names],
-        "q_source string, mix_source_size long, mix_target double, q_block int, q_pass int, q_key long",
+        [(s, sizes[s], goal[s], *ends.get(s, (None, None, None, None))) for s in names],
+        "q_source string, mix_source_size long, mix_target double, q_block int, q_pass int, q_key long, q_fit long",
     )
     shard_of = F.pmod(F.xxhash64(F.lit(seed), F.col("mix_key")), F.lit(shards)).cast("int")
     cut_in = (F.col("mix_block") == F.col("q_block")) & (F.col("mix_key") <= F.col("q_key"))
@@ -165,15 +169,36 @@ def mix(
     place = lambda d: F.struct(
         d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("mix_key"), d["pass"], d["shard"]).alias("place")
     )
-    return (
+    rows = (
         keyed.withColumn("mix_block", block)
         .join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("p_source")) & (F.col("mix_block") == F.col("p_block")), "left")
         .join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("q_source")), "left")
-        .withColumn("mix_draws", F.concat(F.coalesce("p_draws", none), F.coalesce(extra, none)))
-        .withColumn("mix_draws", F.when(F.col("mix_size") > 0, F.transform("mix_draws", place)).otherwise(F.transform(none, place)))
-        .select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_draws")
     )
 
+    def drawn(d: DataFrame, extra: Column) -> DataFrame:
+        return (
+            d.withColumn("mix_draws", F.concat(F.coalesce("p_draws", none), F.coalesce(extra, none)))
+            .withColumn("mix_draws", F.when(F.col("mix_size") > 0, F.transform("mix_draws", place)).otherwise(F.transform(none, place)))
+            .select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_draws")
+        )
+
+    if all(x[3] is None for x in ends.values()):
+        return drawn(rows, extra)
+    halved = F.coalesce(cut_in & (F.col("mix_key") == F.col("q_key")) & F.col("q_fit").isNotNull(), F.lit(False))
+    return drawn(rows.where(~halved), extra).unionByName(drawn(_numbered(rows.where(halved)), F.when(F.col("mix_nth") <= F.col("q_fit"), extra)))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with `mix_nth`, 1 and up among those of a source (which are equal), without a task for all of them."""
+    rows = saved(rows.withColumn("mix_task", F.spark_partition_id()))
+    of_task = rows.groupBy("q_source", "mix_task").agg(F.count("*").alias("mix_n"))
+    w = Window.partitionBy("q_source").orderBy("mix_task").rowsBetween(Window.unboundedPreceding, -1)
+    first = of_task.select(F.col("q_source").alias("f_source"), F.col("mix_task").alias("f_task"), F.coalesce(F.sum("mix_n").over(w), F.lit(0)).alias("mix_first"))
+    nth = F.row_number().over(Window.partitionBy("q_source", "mix_task").orderBy("mix_key"))
+    return rows.withColumn("mix_nth", nth).join(
+        F.broadcast(first), F.col("q_source").eqNullSafe(F.col("f_source")) & (F.col("mix_task") == F.col("f_task"))
+    ).withColumn("mix_nth", F.col("mix_nth") + F.col("mix_first"))
+
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
