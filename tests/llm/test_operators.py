@@ -237,6 +237,16 @@ def test_pii(spark, odd, docs):
     assert out.startswith("mail me: [EMAIL], or x@y no, [EMAIL]") and "[PHONE]" in out and "[CARD]" in out
 
 
+def test_wide_generators_propose_all_that_their_patterns_accept(spark):
+    texts = ["jane.doe (at) example.com", "jane [at] example [dot] com", "meet at home. Then go", "a@b.c", "dot at dot", "8[.]8[.]4[.]4",
+        "1 , 2 , 3 , 4", "8(.)8(.)4(.)4", "4 1 1 1/1-1.1_1 1 1 1 1 1 1 1 1", "1) -(22) -(33", "00 49 (30) 12", "no", ""]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.wide_spans(F.col("text")).alias("w"))
+    for r in d.collect():
+        want = [(k, x.start(), x.end()) for k, name in enumerate(pii.KINDS) for x in re.finditer(pii.WIDE[name], r.text)]
+        assert [(s.kind, s.start, s.end) for s in r.w] == want, r.text
+    assert all(d.where("size(w) > 0 AND text = '" + t + "'").count() for t in (texts[0], texts[5]))
+
+
 def test_boosted_trees_as_a_column(spark):
     import numpy as np
 

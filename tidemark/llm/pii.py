@@ -33,6 +33,9 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+ ?|00)?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 }
+# What every match of a wide pattern holds: of an email its middle; of the others two digits, at most three characters apart.
+WIDE_EMAIL = r"(?:@|\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]"
+WIDE_DIGITS = r"[0-9].{0,3}[0-9]"
 KEYWORDS = r"(?i)mail|contact|phone|tel|call|fax|mobil|card|visa|konto|ip|host|server|addr"
 SAMPLE_DOCS = 3000  # documents that the trees are fitted on, about
 SAMPLE_CHARS = 20_000  # of each, at most
@@ -99,8 +102,8 @@ def wide_spans(text: Column) -> Column:
     email, ip, card, phone = (spans_of(text, WIDE[k], i) for i, k in enumerate(KINDS))
     none = F.filter(phone, lambda _: F.lit(False))
     # each generator runs only where what it needs occurs at all
-    email = F.when(F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"\(dot\)|\[dot\]|\bdot\b")), email).otherwise(none)
-    digits = F.rlike(text, F.lit("[0-9].?.?[0-9]"))
+    email = F.when(F.rlike(text, F.lit(WIDE_EMAIL)), email).otherwise(none)
+    digits = F.rlike(text, F.lit(WIDE_DIGITS))
     return F.concat(email, *(F.when(digits, x).otherwise(none) for x in (ip, card, phone)))
 
 
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_d
     """
     body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS)
     h = F.xxhash64(F.lit(5), F.col(doc_id), F.col(text))
-    some = docs.select(h.alias("h"), body.alias("t")).where(F.rlike("t", F.lit("[0-9@]")))
+    some = docs.select(h.alias("h"), body.alias("t")).where(F.rlike("t", F.lit("[0-9@]")) | F.rlike("t", F.lit(WIDE_EMAIL)))
     n = some.count()
     # a threshold on the hash: no task gathers the sample, and it is as large whatever the table's size
     # saved, or the planner would look for spans in every row before it cuts the sample
