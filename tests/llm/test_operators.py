@@ -344,9 +344,39 @@ def test_langid(spark, odd, docs):
     assert {r.li_lang for r in langid.identify(odd, langid.learned(odd.limit(0))).collect()} == {"und"}
 
 
-def test_language_filter_returns_all_languages_of_an_ngram():
-    m = langid.LanguageFilter([f"l{i}" for i in range(70)]).learn([(f"l{i}", f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9) for i in range(70)])
-    assert m.predict("wordaa wordaa")[0] == "l0" and m.predict("wordrc wordrc")[0] == "l69"
+def test_language_filter_returns_all_languages_of_an_ngram(spark):
+    rows = [(12 * i + k, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9, f"l{i}") for i in range(70) for k in range(12)]
+    m = langid.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(m.langs) == 70 and m.predict("wordaa wordaa")[0] == "l0" and m.predict("wordrc wordrc")[0] == "l69"
+
+
+def test_langid_agrees_with_exact_sets(spark, docs):
+    """The filters against sets of the same n-grams, counted in plain Python over the whole sample."""
+    model = langid.learned(docs)
+    names, _, some = langid.sampled(docs, doc_id="doc_id", text="text", lang="lang", per_lang=langid.PER_LANG)
+    counts = defaultdict(Counter)
+
+    def grams_of(text):
+        c = "".join(x if x.isalpha() else " " for x in text.lower())
+        c = " " + re.sub(" +", " ", c).strip() + " "
+        return [(n, c[i : i + n]) for n in langid.SIZES for i in range(len(c) - n + 1)]
+
+    for i, text in rows_of(some, "li", "text"):
+        for n, g in grams_of(text):
+            counts[i, n][g] += 1
+    sets = [{(n, g) for n in langid.SIZES for g, k in counts[i, n].items() if k * langid.ONE_IN >= counts[i, n].total()} for i in range(len(names))]
+    rows = [r for r in langid.identify(docs, model).collect() if r.li_lang != "und"]
+    same = 0
+    for r in rows:
+        g = grams_of(r.text)
+        share = [sum(x in s for x in g) / len(g) for s in sets]
+        same += names[share.index(max(share))] == r.li_lang
+        assert abs(share[names.index(r.li_lang)] - r.li_score) < 0.1, r.doc_id
+    assert same / len(rows) > 0.995
+
+
+def test_held_out_of_a_null_id(spark, odd):
+    assert {r[0] for r in odd.where("doc_id is null").select(langid.held_out(F.col("doc_id"))).collect()} == {False}
 
 
 def test_top_k(spark, sf):
@@ -486,15 +516,15 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
         assert stage(spark, none, "").count() == 0, name
 
 
-def test_samples_count_repeated_rows_once(spark, monkeypatch):
+def test_samples_count_repeated_rows_once(spark):
     """A third of all rows alike and without an id: the sample that goes to the driver stays bounded."""
     same = [(None, "mail a.b@c.de or call +1 988 555 2485 now", "en")] * 3000
     rest = [(i, f"text {i} with words and x{i}@y.de", "en") for i in range(3000)]
     d = spark.createDataFrame(same + rest, "doc_id long, text string, lang string")
-    sizes, learn = [], langid.LanguageFilter.learn
-    monkeypatch.setattr(langid.LanguageFilter, "learn", lambda self, texts: (sizes.append(len(texts)), learn(self, texts))[1])
+    sizes = []
     for per_lang in (100, 6000):
         assert langid.learned(d, per_lang=per_lang).langs == ["en"]
+        sizes.append(langid.sampled(d, doc_id="doc_id", text="text", lang="lang", per_lang=per_lang)[2].count())
     assert 0 < sizes[0] < 200 and sizes[1] <= 3001
     assert len(pii.fit(d, sample_docs=100).thresholds) == 4
 
