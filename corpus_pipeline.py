@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, saved
@@ -13,15 +13,31 @@ from tidemark.llm.neardup import near_dups
 from tidemark.llm.pack import pack
 
 
+KNOWN = 0.2  # share of a text's n-grams that its language has to contain
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null texts and texts without a letter."""
-    told = identify(docs, learned(docs))
-    return told.where(F.col("li_lang") != "und").select(*docs.columns)
+    """Drops documents in no language that is known.
+
+    Those are null texts, texts without a letter, and texts of which the best language contains less
+    than KNOWN of the n-grams. Without any labelled row no language is known, and only texts without a
+    letter go. Repeated rows share their fate; an empty table stays empty.
+    """
+    model = learned(docs)
+    if not model.langs:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    told = identify(docs, model)
+    return told.where((F.col("li_lang") != "und") & (F.col("li_score") >= KNOWN)).select(*docs.columns)
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64(F.lit(i), F.col("text")) for i in (1, 2)]
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(name, text): a row's name is its id, null after all others, and a hash of its text."""
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    """(name, text): a row's name is its id, null after all others, and 128 bits of hashes of its text."""
+    one, two = _hashes()
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), one.alias("one"), two.alias("two"))
     return docs.select(name.alias("name"), "text")
 
 
@@ -31,18 +47,20 @@ def _stay(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows that share an id but not a text have names of their own, and so have rows without an id. Of
     rows that repeat a name, the one whose other columns come first stays.
     """
-    names = found.groupBy("name").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    names = saved(names.where("kept").select(F.col("name.id").alias("n_id"), F.col("name.hash").alias("n_hash"), "n"))
+    names = found.groupBy("name").agg(F.max("kept").alias("kept"), F.count("*").alias("stay_n")).where("kept")
+    names = saved(names.select(F.col("name.id").alias("stay_id"), F.col("name.one").alias("stay_one"), F.col("name.two").alias("stay_two"), "stay_n"))
+    one, two = _hashes()
 
     def those(which: DataFrame) -> DataFrame:
-        return docs.join(which, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.xxhash64("text") == F.col("n_hash")), "left_semi")
+        same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (one == F.col("stay_one")) & (two == F.col("stay_two"))
+        return docs.join(which, same, "left_semi")
 
-    again = names.where("n > 1")
+    again = names.where("stay_n > 1")
     if again.isEmpty():
         return those(names)
-    first = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("first")
-    one = those(again).groupBy("doc_id", F.xxhash64("text").alias("n_hash")).agg(first).select("first.*")
-    return those(names.where("n = 1")).unionByName(one)
+    first = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("stay_first")
+    once = those(again).groupBy("doc_id", one.alias("stay_one"), two.alias("stay_two")).agg(first).select("stay_first.*")
+    return those(names.where("stay_n = 1")).unionByName(once)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
