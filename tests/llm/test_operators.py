@@ -94,6 +94,49 @@ def test_mix_tells_apart_rows_without_an_id(spark):
         assert left["b", 0] or left["b", 1], "the equal rows are cut one by one"
 
 
+def test_mix_is_dealt_by_the_tree(spark):
+    """Each source's blocks go to the shards by the tree's quotas, and the laid out mix holds every draw in order."""
+    rows = [(i, "w " * (1 + i % 3), f"s{i % 3}", i, i) for i in range(6000)] + [(9000 + i, "x y", "few", i, i) for i in range(5)]
+    names = "doc_id long, text string, source string, q_pass int, p_block long"  # other columns may have any names
+    d = spark.createDataFrame(rows, names)
+    out = mix.mix(d, shards=8).cache()
+    assert out.columns == [*d.columns, "mix_size", "mix_source_size", "mix_target", "mix_draws"]
+    got = [(r.source, r.mix_size, x["pass"], x.shard, x.place, r.doc_id) for r in out.collect() for x in r.mix_draws]
+    words = Counter()
+    for source, size, _, shard, _, _ in got:
+        words[source, shard] += size
+    for s in ("s0", "s1", "s2"):
+        loads = [words[s, k] for k in range(8)]
+        assert min(loads) > 0.6 * sum(loads) / 8 and max(loads) < 1.5 * sum(loads) / 8, (s, loads)
+    total = [sum(words[s, k] for s in ("s0", "s1", "s2", "few")) for k in range(8)]
+    assert max(total) < 1.2 * min(total)
+    flat = mix.laid_out(out).select("mix_shard", "mix_place", "doc_id").collect()
+    assert Counter(map(tuple, flat)) == Counter((x[3], x[4], x[5]) for x in got)
+    order = [(r.mix_shard, r.mix_place) for r in flat]
+    assert order == sorted(order) and [r.doc_id for r in flat] != sorted(r.doc_id for r in flat)
+    # a source's places in the order drawn belong to shards that only go up, as many to each as the tree says
+    turn, shift = mix._permutations(17, "s0", 2)
+    key = F.xxhash64(F.lit(17), "doc_id", "text", "source", "q_pass", "p_block")
+    block = F.pmod(F.shiftright(key, 20), F.lit(mix.BLOCKS))
+    blocks = {r.doc_id: r.b for r in d.select("doc_id", block.alias("b")).collect()}
+    seen = sorted((again * mix.BLOCKS + (turn[again] * blocks[i] + shift[again]) % mix.BLOCKS, shard) for s, _, again, shard, _, i in got if s == "s0")
+    assert [x for _, x in seen] == sorted(x for _, x in seen)
+
+
+def test_op1_query(spark, tiny):
+    rows = mix.op1_mix(spark, tiny).collect()
+    sizes = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in documents(spark, tiny).collect()}
+    assert {r.doc_id: r.size for r in rows} == sizes
+    by = defaultdict(list)
+    for r in rows:
+        assert r.taken == r.size * len(r.shards) and r.taken <= 2 * r.size and len(r.shards) == len(r.places)
+        by[r.source].append(r)
+    goal = mix.targets({s: sum(r.size for r in x) for s, x in by.items()})
+    for s, x in by.items():
+        assert {r.source_size for r in x} == {sum(r.size for r in x)} and {r.target for r in x} == {goal[s]}
+        assert abs(sum(r.taken for r in x) - goal[s]) <= max(r.size for r in x) / 2 + 1
+
+
 def test_targets_share_what_full_sources_cannot_take():
     got = mix.targets({"a": 10, "b": 1000, None: 500})
     assert got["a"] == 20

@@ -97,7 +97,7 @@ def _slots(g: np.ndarray, slots: int) -> list[np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang number, text) -> (lang number, size, gram, n), added up over a few million n-grams at a time."""
+    """(lang number, text) -> (lang number, size, gram, n), added up over about a million n-grams at a time."""
     held: dict[tuple[int, int], list[np.ndarray]] = {}
     many = 0
 
@@ -116,7 +116,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     g = grams(c[at : at + PIECE + size - 1], size)
                     held.setdefault((lang, size), []).append(g)
                     many += len(g)
-                if many > 4_000_000:
+                if many > 1_000_000:
                     yield from out()
                     many = 0
     yield from out()

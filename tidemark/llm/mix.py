@@ -1,10 +1,13 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 The documents of each source are dealt into blocks by a hash; a source's target is met by an exact
-number of its blocks, in an order drawn once from the seed. A binary tree over the output shards
-splits the vector of block quotas at each node by a multivariate hypergeometric draw, so every leaf
-shard has an exact quota from each source and holds disjoint runs of the sources' permuted blocks.
-Rows are shuffled inside their shard only, by a hash.
+number of its blocks, in an order (a permutation of the blocks for each pass) drawn once from the seed.
+A binary tree over the output shards splits the vector of block quotas at each node by a multivariate
+hypergeometric draw, so every leaf shard has an exact quota from each source and holds disjoint runs of
+the sources' permuted blocks. Rows are shuffled inside their shard only, by a hash.
+
+The driver plans with a few numbers per source: where its last block stands, and its quota of each
+shard. What a row's block stands for follows from these by arithmetic, on the executors.
 """
 
 from __future__ import annotations
@@ -14,17 +17,15 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, documents, saved
+from .common import WORD, documents, parts, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
-BLOCKS = 4096  # a source's blocks at most
-ALL_BLOCKS = 400_000  # blocks of all sources at most: bounds what the driver plans with
-MAX_SOURCES = 100_000
+BLOCKS = 4096  # of a source; a power of two
+MAX_SOURCES = 100_000  # the driver plans a row of some 400 bytes for each; more raise an error
 
 
 def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> dict:
@@ -82,7 +83,7 @@ def mix(
     """docs' rows with `mix_size, mix_source_size, mix_target, mix_draws`.
 
     mix_draws: one struct(pass, shard, place) for each time the mix takes the row, 0 to `most` of
-    them; explode it and sort by place within a shard for the shuffled mix.
+    them; laid_out() makes the shuffled mix of them, a row per draw.
 
     Null source: a source of its own, last. Null or blank text: size 0, never drawn. A row is known by
     all its columns (but maps), so rows that share an id, or have none, are drawn apart. Equal rows fall
@@ -90,114 +91,135 @@ def mix(
     Empty table: no rows. A column of docs may have any name but one that starts with `mix_`.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rest = [c for c, t in docs.dtypes if "map<" not in t and t != "variant" and c not in (doc_id, text)]
-    key = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in (doc_id, text, *rest)))
-    keyed = docs.withColumns({"mix_size": size, "mix_key": key})
-    narrow = saved(keyed.select(F.col(source).alias("mix_source"), "mix_size", "mix_key"))
-    n_sources = narrow.agg(F.count_distinct(F.coalesce(F.concat(F.lit("s"), "mix_source"), F.lit("n")))).first()[0]
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"{n_sources} sources; at most {MAX_SOURCES} can be planned")
-    n_blocks = max(4, min(BLOCKS, ALL_BLOCKS // max(1, n_sources)))
-    block = F.pmod(F.shiftright("mix_key", 20), F.lit(n_blocks)).cast("int")
-    table = (
-        narrow.where("mix_size > 0").groupBy("mix_source", block.alias("block")).agg(F.sum("mix_size").alias("words")).collect()
-    )  # at most ALL_BLOCKS rows
-    by: dict = {r[0]: [] for r in narrow.select("mix_source").distinct().collect()}
-    for s, b, words in table:
-        by[s].append((b, words))
-    sizes = {s: sum(w for _, w in x) for s, x in by.items()}
+    named = {c: F.col(f"`{c}`") for c in docs.columns}
+    size = F.coalesce(F.regexp_count(named[text], F.lit(WORD)), F.lit(0)).cast("long")
+    rest = [named[c] for c, t in docs.dtypes if "map<" not in t and t != "variant" and c not in (doc_id, text)]
+    key = F.xxhash64(F.lit(seed), named[doc_id], named[text], *rest)
+    block = F.pmod(F.shiftright(key, 20), F.lit(BLOCKS)).cast("int")
+    keyed = docs.withColumns({"mix_size": size, "mix_key": key, "mix_block": block})
+    narrow = saved(keyed.select(named[source].alias("mix_source"), "mix_size", "mix_key", "mix_block"))
+    table = narrow.groupBy("mix_source").agg(F.sum("mix_size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    if len(table) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources cannot be planned")
+    sizes = {s: n for s, n in table}
     goal = targets(sizes, weights, share, most)
-    names = sorted(by, key=lambda s: (s is None, s or ""))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
 
-    draws: dict[tuple, list[tuple]] = {}  # (source, block) -> [(pass, shard or None)]
-    taken: list[list[tuple]] = []  # by source, whole blocks in the order drawn
-    edge: list[tuple] = []  # (source, block, pass, words still wanted)
-    for s in names:
-        left, got = goal[s], []
-        for again in range(most):
-            rng = np.random.default_rng([seed, again, *hashlib.sha256(repr(s).encode("utf-8", "surrogatepass")).digest()[:8]])
-            order = sorted(by[s])
-            for i in rng.permutation(len(order)):
-                b, words = order[i]
-                if left <= 0:
-                    break
-                if words <= left:
-                    got.append((b, again))
-                else:
-                    edge.append((s, b, again, float(left)))
-                left -= words
-        taken.append(got)
-    quotas = split_quotas([len(x) for x in taken], shards, seed)
-    for k, s in enumerate(names):
-        at = np.repeat(np.arange(shards), quotas[:, k])
-        for (b, again), shard in zip(taken[k], at, strict=True):
-            draws.setdefault((s, b), []).append((again, int(shard)))
-
-    kind = T.StructType(
-        [T.StructField("p_source", T.StringType()), T.StructField("p_block", T.IntegerType())]
-        + [T.StructField("p_draws", T.ArrayType(T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("shard", T.IntegerType())])))]
-    )
-    plan = spark.createDataFrame([(s, b, x) for (s, b), x in draws.items()], kind)
-    # Of the one block per source that the target cuts: whole documents by key, equal ones one by one, up to
-    # the nearest word count.
-    cut = spark.createDataFrame(edge, "e_source string, e_block int, e_pass int, e_left double")
-    at_edge = narrow.withColumn("block", block).join(
-        F.broadcast(cut), F.col("mix_source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block"))
+    # Each pass takes a source's blocks in an order of its own: block b stands at (turn * b + shift) mod BLOCKS.
+    order = {s: _permutations(seed, s, most) for s in names}
+    kind = "mix_p_source string, mix_p_target double, mix_p_turn array<int>, mix_p_shift array<int>"
+    wanted = spark.createDataFrame([(s, goal[s], *order[s]) for s in names], kind)
+    ends = {r[0]: tuple(r[1:]) for r in _ends(narrow, wanted, most).collect()}  # a row per source at most
+    last = [ends.get(s, (most * BLOCKS, 0.0))[0] for s in names]
+    quotas = split_quotas([min(at + 1, most * BLOCKS) for at in last], shards, seed)
+    cuts = []  # (source, block, pass, words still wanted) of the one block per source that its target cuts
+    for s, (at, left) in ends.items():
+        again, place = divmod(at, BLOCKS)
+        turn, shift = order[s][0][again], order[s][1][again]
+        cuts.append((s, (place - shift) * pow(turn, -1, BLOCKS) % BLOCKS, again, left))
+    keys = {r.mix_e_source: (r.end.mix_key, r.end.fit if r.end.fit < r.end.copies else None) for r in _edge_keys(narrow, spark, cuts).collect()}
+    edge_block = {s: b for s, b, _, _ in cuts}
+    plan = [
+        (s, sizes[s], goal[s], *order[s], at, quotas[:, k].cumsum().tolist(), edge_block.get(s), *keys.get(s, (None, None)))
+        for k, (s, at) in enumerate(zip(names, last, strict=True))
+    ]
+    per_source = spark.createDataFrame(
+        plan,
+        "mix_p_source string, mix_source_size long, mix_target double, mix_p_turn array<int>, mix_p_shift array<int>, "
+        "mix_p_last int, mix_p_shards array<int>, mix_p_block int, mix_p_key long, mix_p_fit long",
     )
-    w = Window.partitionBy("e_source").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        at_edge.where("mix_size > 0")
-        .groupBy("e_source", "e_block", "e_pass", "e_left", "mix_key")
+    rows = keyed.join(F.broadcast(per_source), named[source].eqNullSafe(F.col("mix_p_source")), "left")
+
+    def drawn(d: DataFrame, edge: Column) -> DataFrame:
+        """edge: whether a row of the cut block is taken there."""
+        each = []
+        for again in range(most):
+            at = _place(F.col("mix_block"), F.col("mix_p_turn")[again], F.col("mix_p_shift")[again], again)
+            shard = _shard(at)
+            place = F.xxhash64(F.lit(seed), F.col("mix_key"), F.lit(again), shard)
+            draw = F.struct(F.lit(again).alias("pass"), shard.alias("shard"), place.alias("place"))
+            taken = (F.col("mix_size") > 0) & ((at < F.col("mix_p_last")) | ((at == F.col("mix_p_last")) & edge))
+            each.append(F.when(taken, draw))
+        draws = F.filter(F.array(*each), lambda x: x.isNotNull()).alias("mix_draws")
+        return d.select(*named.values(), "mix_size", "mix_source_size", "mix_target", draws)
+
+    under = F.coalesce(F.col("mix_key") <= F.col("mix_p_key"), F.lit(False))
+    if all(fit is None for _, fit in keys.values()):
+        return drawn(rows, under)
+    halved = F.col("mix_block").eqNullSafe(F.col("mix_p_block")) & F.col("mix_key").eqNullSafe(F.col("mix_p_key")) & F.col("mix_p_fit").isNotNull()
+    halved = halved & (F.col("mix_size") > 0)
+    return drawn(rows.where(~halved), under).unionByName(drawn(_numbered(rows.where(halved)), F.col("mix_nth") <= F.col("mix_p_fit")))
+
+
+def _permutations(seed: int, source: str | None, most: int) -> tuple[list[int], list[int]]:
+    """Factors and shifts of the passes' permutations: any odd factor permutes the blocks."""
+    rng = np.random.default_rng([seed, *hashlib.sha256(repr(source).encode("utf-8", "surrogatepass")).digest()[:8]])
+    return (2 * rng.integers(0, BLOCKS // 2, most) + 1).tolist(), rng.integers(0, BLOCKS, most).tolist()
+
+
+def _place(block: Column, turn: Column, shift: Column, again: int) -> Column:
+    """Where a block stands in the order that its source is drawn in, over all passes."""
+    return F.lit(again * BLOCKS) + F.pmod(block * turn + shift, F.lit(BLOCKS))
+
+
+def _shard(at: Column) -> Column:
+    """The shard whose run of the source's blocks holds the place: mix_p_shards has the ends of the runs."""
+    return F.size(F.filter("mix_p_shards", lambda end: end <= at))
+
+
+def _ends(narrow: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """(source, place, words still wanted) of the block that each source's target cuts, if it cuts one."""
+    blocks = narrow.where("mix_size > 0").groupBy("mix_source", "mix_block").agg(F.sum("mix_size").alias("words"))
+    blocks = blocks.join(F.broadcast(wanted), F.col("mix_source").eqNullSafe(F.col("mix_p_source")))
+    at = F.array(*(_place(F.col("mix_block"), F.col("mix_p_turn")[i], F.col("mix_p_shift")[i], i) for i in range(most)))
+    each = blocks.select("mix_source", "words", "mix_p_target", F.explode(at).alias("at"))
+    w = Window.partitionBy("mix_source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # most * BLOCKS rows
+    each = each.withColumn("so_far", F.sum("words").over(w))
+    left = F.col("mix_p_target") - (F.col("so_far") - F.col("words"))
+    cut = each.where((F.col("so_far") > F.col("mix_p_target")) & (left > 0))
+    return cut.groupBy("mix_source").agg(F.min(F.struct("at", left.alias("left"))).alias("x")).select("mix_source", "x.at", "x.left")
+
+
+def _edge_keys(narrow: DataFrame, spark: SparkSession, cuts: list[tuple]) -> DataFrame:
+    """Of a cut block: whole documents by key, equal ones one by one, up to the nearest word count."""
+    cut = spark.createDataFrame(cuts, "mix_e_source string, mix_e_block int, mix_e_pass int, mix_e_left double")
+    same = F.col("mix_source").eqNullSafe(F.col("mix_e_source")) & (F.col("mix_block") == F.col("mix_e_block"))
+    at_edge = narrow.where("mix_size > 0").join(F.broadcast(cut), same)
+    w = Window.partitionBy("mix_e_source").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, 0)
+    words = F.col("mix_size") * F.col("copies")
+    return (
+        at_edge.groupBy("mix_e_source", "mix_e_left", "mix_key")
         .agg(F.max("mix_size").alias("mix_size"), F.count("*").alias("copies"))
-        .withColumn("before", F.sum(F.col("mix_size") * F.col("copies")).over(w) - F.col("mix_size") * F.col("copies"))
-        .withColumn("fit", F.floor((F.col("e_left") - F.col("before")) / F.col("mix_size") + 0.5))
+        .withColumn("before", F.sum(words).over(w) - words)
+        .withColumn("fit", F.floor((F.col("mix_e_left") - F.col("before")) / F.col("mix_size") + 0.5))
         .where("fit >= 1")
-        .groupBy("e_source", "e_block", "e_pass")
+        .groupBy("mix_e_source")
         .agg(F.max_by(F.struct("mix_key", "fit", "copies"), "mix_key").alias("end"))
-        .collect()
-    )  # a row per source at most
-    ends = {r.e_source: (r.e_block, r.e_pass, r.end.mix_key, r.end.fit if r.end.fit < r.end.copies else None) for r in last}
-    per_source = spark.createDataFrame(
-        [(s, sizes[s], goal[s], *ends.get(s, (None, None, None, None))) for s in names],
-        "q_source string, mix_source_size long, mix_target double, q_block int, q_pass int, q_key long, q_fit long",
-    )
-    shard_of = F.pmod(F.xxhash64(F.lit(seed), F.col("mix_key")), F.lit(shards)).cast("int")
-    cut_in = (F.col("mix_block") == F.col("q_block")) & (F.col("mix_key") <= F.col("q_key"))
-    extra = F.when(cut_in, F.array(F.struct(F.col("q_pass").alias("pass"), shard_of.alias("shard"))))
-    none = F.array().cast("array<struct<pass:int,shard:int>>")
-    place = lambda d: F.struct(
-        d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("mix_key"), d["pass"], d["shard"]).alias("place")
     )
-    rows = (
-        keyed.withColumn("mix_block", block)
-        .join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("p_source")) & (F.col("mix_block") == F.col("p_block")), "left")
-        .join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("q_source")), "left")
-    )
-
-    def drawn(d: DataFrame, extra: Column) -> DataFrame:
-        return (
-            d.withColumn("mix_draws", F.concat(F.coalesce("p_draws", none), F.coalesce(extra, none)))
-            .withColumn("mix_draws", F.when(F.col("mix_size") > 0, F.transform("mix_draws", place)).otherwise(F.transform(none, place)))
-            .select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_draws")
-        )
-
-    if all(x[3] is None for x in ends.values()):
-        return drawn(rows, extra)
-    halved = F.coalesce(cut_in & (F.col("mix_key") == F.col("q_key")) & F.col("q_fit").isNotNull(), F.lit(False))
-    return drawn(rows.where(~halved), extra).unionByName(drawn(_numbered(rows.where(halved)), F.when(F.col("mix_nth") <= F.col("q_fit"), extra)))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows with `mix_nth`, 1 and up among those of a source (which are equal), without a task for all of them."""
     rows = saved(rows.withColumn("mix_task", F.spark_partition_id()))
-    of_task = rows.groupBy("q_source", "mix_task").agg(F.count("*").alias("mix_n"))
-    w = Window.partitionBy("q_source").orderBy("mix_task").rowsBetween(Window.unboundedPreceding, -1)
-    first = of_task.select(F.col("q_source").alias("f_source"), F.col("mix_task").alias("f_task"), F.coalesce(F.sum("mix_n").over(w), F.lit(0)).alias("mix_first"))
-    nth = F.row_number().over(Window.partitionBy("q_source", "mix_task").orderBy("mix_key"))
-    return rows.withColumn("mix_nth", nth).join(
-        F.broadcast(first), F.col("q_source").eqNullSafe(F.col("f_source")) & (F.col("mix_task") == F.col("f_task"))
-    ).withColumn("mix_nth", F.col("mix_nth") + F.col("mix_first"))
+    of_task = rows.groupBy("mix_p_source", "mix_task").agg(F.count("*").alias("mix_n"))
+    w = Window.partitionBy("mix_p_source").orderBy("mix_task").rowsBetween(Window.unboundedPreceding, -1)
+    first = of_task.select(
+        F.col("mix_p_source").alias("mix_f_source"), F.col("mix_task").alias("mix_f_task"), F.coalesce(F.sum("mix_n").over(w), F.lit(0)).alias("mix_first")
+    )
+    nth = F.row_number().over(Window.partitionBy("mix_p_source", "mix_task").orderBy("mix_key"))
+    same = F.col("mix_p_source").eqNullSafe(F.col("mix_f_source")) & (F.col("mix_task") == F.col("mix_f_task"))
+    return rows.withColumn("mix_nth", nth).join(F.broadcast(first), same).withColumn("mix_nth", F.col("mix_nth") + F.col("mix_first"))
+
+
+def laid_out(mixed: DataFrame) -> DataFrame:
+    """The mix itself, a row per draw with `mix_shard` and `mix_place`: the shards one after another, each in its shuffled order.
+
+    Tasks hold ranges of (shard, place), so a shard may span several of them. Rows that were never drawn are gone.
+    """
+    draw = F.explode("mix_draws").alias("mix_draw")
+    each = mixed.select(*(F.col(f"`{c}`") for c in mixed.columns if c != "mix_draws"), draw)
+    each = each.withColumns({"mix_shard": F.col("mix_draw.shard"), "mix_place": F.col("mix_draw.place")}).drop("mix_draw")
+    return each.repartitionByRange(parts(mixed), "mix_shard", "mix_place").sortWithinPartitions("mix_shard", "mix_place")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,4 +231,6 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.size("mix_draws")).alias("taken"),
+        F.col("mix_draws.shard").alias("shards"),
+        F.col("mix_draws.place").alias("places"),
     )
