@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, saved
 from tidemark.llm.dedup import exact_dedup
 from tidemark.llm.langid import identify, learned
-from tidemark.llm.mix import mix
+from tidemark.llm.mix import laid_out, mix
 from tidemark.llm.neardup import near_dups
 from tidemark.llm.pack import pack
 
@@ -78,13 +78,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is drawn."""
-    drawn = mix(docs)
-    return drawn.withColumn("mix_draw", F.explode("mix_draws")).select(*docs.columns)
+    """The mix, laid out: each document as often as it is drawn, shard after shard, shuffled inside each.
+
+    Null and blank texts are never drawn; rows without an id or that share one are drawn apart; repeated
+    rows are drawn alike, but where the target cuts them. An empty table stays empty.
+    """
+    return laid_out(mix(docs)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in sequences of at most 1024 tokens: a row per piece."""
+    """The mix in sequences of at most 1024 tokens: a row per piece.
+
+    Null text: the end id alone. Each row is packed on its own, repeated ones too. An empty table has no pieces.
+    """
     return pack(docs.select("doc_id", "text")).withColumnRenamed("pk_id", "doc_id")
 
 
