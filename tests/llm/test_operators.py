@@ -171,22 +171,48 @@ def test_tokens_are_those_of_the_tokenizers_library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    enc = pack.load_tokenizer(pack.tokenizer_path())
-    for text in [r[1] or "" for r in ODD] + ["<|endoftext|> x", "a" * 3000, "  \n\n\t  ü\u00a0\u2028\U0001f600\x00", "1234567 it's WE'LL"]:
-        assert enc.encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # with its defaults
+    tokens, given = pack.Tokens(), pack.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r[1] or "" for r in ODD] + ["<|endoftext|> x", "x <|endoftext|> y", "<|endoftext|><|endoftext|>\n", "<|endoftext", "a" * 3000, "1234567 it's WE'LL"]
+    texts += ["  \n\n\t  ü\u00a0\u2028\U0001f600\x00", "\n" * 1_000_000, " " * 1_000_000 + "x", "z" * 1_000_000, "word " * 300_000]
+    for text in texts:
+        want = t.encode(text, add_special_tokens=False).ids
+        assert tokens.ids(text) == want
+        if len(text) < 10_000:
+            assert given.ids(text) == want
+    assert tokens.ids("x <|endoftext|> y") == [87, 220, 50256, 331]
+
+
+def test_pack_in_several_deals(spark, monkeypatch):
+    """Ranks go on over the groups that a length is dealt into."""
+    monkeypatch.setattr(pack, "DEAL", 50)
+    d = spark.createDataFrame([(i % 700, "one two three", i) for i in range(1000)] + [(5000, "\n" * 1_000_000, 0)], "doc_id long, text string, deal int")
+    rows = pack.pack(d).collect()
+    assert Counter(r.pk_id for r in rows if r.pk_id < 5000) == Counter(i % 700 for i in range(1000))
+    assert sum(r.length for r in rows if r.pk_id == 5000) == 500_001
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(places) <= sum(r.length for r in rows) / 1024 * 1.02 + 1
 
 
 def test_pack(spark, odd, docs):
     import numpy as np
 
-    enc = pack.load_tokenizer(pack.tokenizer_path())
+    from tokenizers import Tokenizer
+
+    enc = Tokenizer.from_file(pack.tokenizer_path())
     for name, d in tables(odd, docs, spark):
         got = pack.pack(d).collect()
         want = Counter()
         for i, t in rows_of(d, "doc_id", "text"):
-            ids = np.array([*enc.encode_ordinary(t or ""), 2], dtype="<u4")
+            ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
             starts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024)] if len(ids) > 1024 else [0]
             for p, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                 want[i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1

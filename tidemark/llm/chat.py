@@ -55,38 +55,41 @@ def parse(formatted: str) -> list[Message]:
 
 
 class Rendering:
-    """A conversation rendered turn by turn: `text`, `spans` of each turn's text, `rewrites`."""
+    """A conversation rendered turn by turn: `text`, `spans` of each turn's text, `rewrites`.
+
+    The template gets a list of its own at each call, so one that keeps or changes the list does no harm.
+    """
 
     def __init__(self, render: Callable[[list[Message]], str]):
         self.render, self.messages, self.text, self.spans, self.rewrites = render, [], "", [], False
 
     def add(self, role: str, text: str) -> None:
-        before, old = self.messages, self.text
-        self.messages = [*before, (role, text)] if len(before) < 64 else (before.append((role, text)) or before)
-        self.text = self.render(self.messages)
+        old = self.text
+        self.messages.append((role, text))
+        self.text = self.render(list(self.messages))
         if self.rewrites or not self.text.startswith(old):
             self.rewrites = True
             return
-        last, self.messages[-1] = self.messages[-1], (role, MARK)
-        marked = self.render(self.messages)
-        self.messages[-1] = last
-        self.spans.append(self._span(marked, len(old)))
+        self.spans.append(self._span(self._marked(len(self.messages) - 1), len(old)))
+
+    def _marked(self, i: int) -> str:
+        return self.render([*self.messages[:i], (self.messages[i][0], MARK), *self.messages[i + 1 :]])
 
     def _span(self, marked: str, start: int) -> tuple[int, int] | None:
+        """Where the marker stands in for the turn's text: of the marker's places, the one around which all else is alike."""
         at = marked.find(MARK, start)
-        if at < 0 or marked[start:at] != self.text[start:at]:
-            return None
-        tail = marked[at + len(MARK) :]
-        end = len(self.text) - len(tail)
-        return (at, end) if end >= at and self.text.endswith(tail) else None
+        while at >= 0 and marked[start:at] == self.text[start:at]:
+            tail = marked[at + len(MARK) :]
+            end = len(self.text) - len(tail)
+            if end >= at and self.text.endswith(tail):
+                return (at, end)
+            start, at = at, marked.find(MARK, at + 1)
+        return None
 
     def finish(self) -> None:
         """For a template that rewrites history: each turn's text in the last rendering."""
         if self.rewrites:
-            self.spans = []
-            for i, (role, _) in enumerate(list(self.messages)):
-                marked = self.render([*self.messages[:i], (role, MARK), *self.messages[i + 1 :]])
-                self.spans.append(self._span(marked, 0))
+            self.spans = [self._span(self._marked(i), 0) for i in range(len(self.messages))]
 
 
 def format_chats(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's spark.checkpoint.dir; only a session without one (tests) gets a local folder."""
+    """Keeps the cluster's spark.checkpoint.dir. Only a session on one machine (tests) may do without: it gets a local folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", sc.master or ""):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
 

@@ -2,7 +2,8 @@
 
 The packing is made over the histogram of piece lengths (at most `capacity` numbers), so it is one
 packing of the whole corpus, whatever its size: the plan is a short list of (pattern of lengths,
-number of bins). Pieces then find their place by their rank within their length.
+number of bins). Pieces then find their place by their rank within their length; a length is dealt into
+as many groups as its pieces need, each ranked in a task of its own.
 """
 
 from __future__ import annotations
@@ -22,26 +23,51 @@ from .common import documents, salt_of, saved
 
 CAPACITY = 1024
 END_ID = 2
-DEALS = 64  # rank groups per length
+DEAL = 200_000  # pieces of one length that are ranked in one group, about
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+END_OF_TEXT = "<|endoftext|>"  # the vocabulary's one special token, id 50256
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def load_tokenizer(path: str):
-    """The byte-level BPE of byte_bpe_50k.json by its ranks: the same ids (tests/llm hold the two equal), four times as fast."""
-    import base64
+class Tokens:
+    """The ids that the tokenizers library gives for byte_bpe_50k.json, without special tokens added.
 
-    import public_tokenizers
-    import tiktoken
+    They come from the same vocabulary's rank file through tiktoken, four times as fast (tests/llm hold the
+    two equal). A text that its pattern cannot get through, such as a million spaces, goes to the
+    tokenizers library, and so does every text where another tokenizer file is given.
+    """
+
+    def __init__(self, path: str | None = None):
+        self.path, self.fast, self.slow = path or tokenizer_path(), None, None
+        if path is None:
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            special = {END_OF_TEXT: 50256}
+            self.fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is not None:
+            try:
+                return self.fast.encode(text, allowed_special={END_OF_TEXT}, disallowed_special=())
+            except ValueError:  # its pattern gave up on a long run of white space
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -54,11 +80,11 @@ def token_pieces(docs: DataFrame, *, doc_id: str, text: str, capacity: int, path
     """A row per piece: doc_id and PIECE."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_tokenizer(path or tokenizer_path())
+        tokens = Tokens(path)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("at", "piece", "start", "length", "ids_crc32")}
             for i, t in enumerate(batch.column(1)):
-                ids = np.array([*enc.encode_ordinary(t.as_py() or ""), END_ID], dtype="<u4")
+                ids = np.array([*tokens.ids(t.as_py() or ""), END_ID], dtype="<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     crc = zlib.crc32(ids[start : start + length].tobytes())
                     for k, v in zip(rows, (i, piece, start, length, crc), strict=True):
@@ -178,8 +204,15 @@ def pack(
     that repeat an id repeat its pieces. Long texts: cut into pieces, never truncated. Empty table: no rows.
     """
     pieces = saved(token_pieces(docs, doc_id=doc_id, text=text, capacity=capacity, path=tokenizer))
-    pieces = pieces.withColumn("deal", salt_of(F.col("pk_id"), F.col("piece"), F.col("ids_crc32"), runs=DEALS))
-    counts = pieces.groupBy("length", "deal").count().collect()  # at most capacity * DEALS rows
+    names = ["pk_id", *(c.split()[0] for c in PIECE.split(", "))]
+    # a piece of full length is a sequence of its own: any number will do, so it is neither ranked nor moved
+    own = (-1 - F.monotonically_increasing_id()).alias("sequence_id")
+    full = pieces.where(F.col("length") == capacity).select(*names, own, F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity)
+    largest = rest.groupBy("length").count().agg(F.max("count")).first()[0] or 0
+    deals = -(-largest // DEAL) or 1
+    rest = rest.withColumn("deal", salt_of(F.col("pk_id"), F.col("piece"), F.col("ids_crc32"), runs=deals))
+    counts = rest.groupBy("length", "deal").count().collect()  # at most capacity * deals rows
     total: Counter = Counter()
     before: dict[tuple[int, int], int] = {}
     for length, deal, n in sorted(map(tuple, counts)):
@@ -208,8 +241,8 @@ def pack(
             )
 
     w = Window.partitionBy("length", "deal").orderBy("pk_id", "piece", "ids_crc32")
-    ranked = pieces.select("pk_id", *(c.split()[0] for c in PIECE.split(", ")), "deal", F.row_number().over(w).cast("long").alias("rank"))
-    return ranked.mapInArrow(work, f"pk_id {kind}, {PIECE}, sequence_id long, offset long")
+    ranked = rest.select(*names, "deal", F.row_number().over(w).cast("long").alias("rank"))
+    return ranked.mapInArrow(work, f"pk_id {kind}, {PIECE}, sequence_id long, offset long").unionByName(full)
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
