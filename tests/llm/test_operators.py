@@ -467,6 +467,30 @@ def test_top_k(spark, sf):
             assert Counter(x for x in rows_of(got, "query_id", "rank", "vec_id", "score")) == want
 
 
+def test_top_k_fails_rather_than_clip(spark):
+    for big in (1e18, 1e30):
+        d = spark.createDataFrame([(0, [big, 1.0]), (1, [1e18, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="fit a long"):
+            topk.top_k(d, F.col("vec_id") == 0).collect()
+
+
+def test_top_k_shards_follow_the_vectors_length(spark, monkeypatch):
+    """Long vectors in shards of bounded bytes give the scores of one product."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "SHARD_BYTES", 1 << 18)
+    x = np.random.default_rng(5).normal(size=(300, 768)).astype(np.float32)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    z = np.floor(x.astype(np.float64) * 64).astype(np.int64)
+    got = defaultdict(list)
+    for i, _, j, s in sorted(rows_of(topk.top_k(d, F.col("vec_id") % 20 == 0), "query_id", "rank", "vec_id", "score")):
+        got[i].append((j, s))
+    for i in range(0, 300, 20):
+        score = z @ z[i]
+        want = sorted((j for j in range(300) if j != i), key=lambda j: (-score[j], j))[:20]
+        assert got[i] == [(j, score[j]) for j in want]
+
+
 def shingle_sets(rows, size):
     out = []
     for i, t in rows:

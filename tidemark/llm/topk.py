@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,15 +21,20 @@ from .common import documents, parts, saved, salt_of
 TOP = 20
 SCALE = 64
 EVERY = 20
-
-
-def integers(column: pa.Array, scale: int) -> np.ndarray:
-    """floor(scale * x) as int64, rows by dimensions; short vectors end in zeros."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), max([1, *map(len, rows)])), dtype=np.int64)
-    for i, r in enumerate(rows):
-        if r:
-            out[i, : len(r)] = np.clip(np.floor(np.asarray(r, dtype=np.float64) * scale), -(2.0**62), 2.0**62).astype(np.int64)
+SHARD_BYTES = 1 << 26  # of a shard's integers, 8 bytes each
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of long as int64, rows by dimensions, read from the column's buffers; short vectors end in zeros."""
+    ends = np.cumsum(np.asarray(column.value_lengths(), dtype=np.int64))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    n = np.diff(ends, prepend=0)
+    dims = max(1, int(n.max(initial=0)))
+    if len(n) and n.min() == dims:
+        return flat.reshape(len(n), dims)
+    out = np.zeros((len(n), dims), dtype=np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(flat)) - np.repeat(ends - n, n)] = flat
     return out
 
 
@@ -72,21 +77,24 @@ def maxscore(q: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndar
     return at[best], part[best]
 
 
-def _search(scale: int, k: int):
+def _search(k: int):
     def work(queries: Iterator[pa.RecordBatch], shard: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = ["q_row", "vec_id", "score"]
         left, right = [pa.Table.from_batches(list(x)) if not isinstance(x, pa.Table) else x for x in (queries, shard)]
         if not left.num_rows or not right.num_rows:
             return
-        right = right.sort_by([("vec_id", "ascending"), ("row", "ascending")])
-        c, q = (integers(x.column("v").combine_chunks(), scale) for x in (right, left))
+        c, q = (matrix(x.column("v").combine_chunks()) for x in (right, left))
+        rows, ids = right.column("row").to_numpy(), right.column("vec_id").to_numpy()
+        order = np.lexsort((rows, ids))
+        c, rows, ids = c[order], rows[order], ids[order]
         dims = max(c.shape[1], q.shape[1])
         c, q = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (c, q))
         most = float(np.abs(c).max()) * float(np.abs(q).max()) * dims
+        if most >= 2.0**63:
+            raise OverflowError("a score may not fit a long")
         kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # each exact in its range
         c, q = np.ascontiguousarray(c.T.astype(kind)), q.astype(kind)
         low, high = c.min(axis=1), c.max(axis=1)
-        rows, ids = right.column("row").to_numpy(), right.column("vec_id").to_numpy()
         for i, own in enumerate(left.column("row").to_numpy()):
             at, score = maxscore(q[i], c, low, high, rows, own, k)
             yield pa.RecordBatch.from_arrays(
@@ -104,19 +112,28 @@ def top_k(
     Queries meet candidates in blocks: every block of queries with every shard once; what moves is
     rows times blocks. Vectors that are null or hold a null or a non-finite component, and rows without
     an id, take no part. Shorter vectors count as ending in zeros. Rows that repeat an id are rows of
-    their own: each is a query, and a candidate of the other. Fewer rows than k: all of them. Scores must fit a long.
+    their own: each is a query, and a candidate of the other. Fewer rows than k: all of them. Empty table: no
+    rows. Components and scores must fit a long, else the job fails. A shard has at most `shard` rows, by
+    default as many as fill SHARD_BYTES, so what a task holds does not grow with the vectors' length.
     """
     v = F.col(vector)
     whole = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), is_query.alias("is_q"))
-    rows = saved(rows.where(F.col("vec_id").isNotNull() & whole).withColumn("row", F.monotonically_increasing_id()))
-    n, nq = rows.agg(F.count("*"), F.count_if("is_q")).first()
-    size = shard or min(131_072, max(4096, n // 64))
+    large = F.raise_error(F.lit("a vector's component does not fit a long")).cast("long")
+
+    def integer(x: Column) -> Column:
+        y = F.floor(x.cast("double") * float(scale))
+        return F.when(F.abs(x.cast("double") * float(scale)) < 2.0**62, y).otherwise(large)
+
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(whole, v).alias("v"), is_query.alias("is_q"))
+    rows = rows.where("vec_id is not null and v is not null").withColumn("v", F.transform("v", integer))
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    n, nq, dims = rows.agg(F.count("*"), F.count_if("is_q"), F.max(F.size("v"))).first()
+    size = shard or max(1, min(SHARD_BYTES // (8 * max(1, dims or 1)), max(4096, n // 64)))
     shards, blocks = max(1, -(-n // size)), max(1, -(-nq // size))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     queries = rows.where("is_q").select("row", "v", salt_of(F.col("row"), runs=blocks).alias("q"), every(shards).alias("s"))
     candidates = rows.select("row", "vec_id", "v", salt_of(F.col("row"), runs=shards).alias("s"), every(blocks).alias("q"))
-    found = queries.groupBy("q", "s").cogroup(candidates.groupBy("q", "s")).applyInArrow(_arrow(_search(scale, k)), "q_row long, vec_id long, score long")
+    found = queries.groupBy("q", "s").cogroup(candidates.groupBy("q", "s")).applyInArrow(_arrow(_search(k)), "q_row long, vec_id long, score long")
     w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     names = rows.where("is_q").select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"))
