@@ -316,6 +316,107 @@ def test_wide_generators_propose_all_that_their_patterns_accept(spark):
     assert all(d.where("size(w) > 0 AND text = '" + t + "'").count() for t in (texts[0], texts[5]))
 
 
+def hidden_data(seed):
+    """(text, spans): sentences with personal data in forms that the base rules do not know, and look-alikes."""
+    import random
+
+    r = random.Random(seed)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(3, 8)))
+
+    def card():
+        while not luhn(d := r.choice("45") + digits(15)):
+            pass
+        return r.choice("./_").join(d[i : i + 4] for i in range(0, 16, 4))
+
+    def address():
+        at, dot = r.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", ".")])
+        return f"{word()}.{r.randint(1, 99)}{at}{word()}{dot}example{dot}com"
+
+    def ip():
+        return r.choice(["[.]", "(.)"]).join(str(r.randint(1, 255)) for _ in range(4))
+
+    def phone():
+        return r.choice([f"001 ({digits(3)}) 555-{digits(4)}", f"({digits(3)}) 555-{digits(4)}", f"1.{digits(3)}.555.{digits(4)}"])
+
+    def decoy():
+        return r.choice([f"we met at {word()}. Then", f"on 20{r.randint(10, 25)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(300, 900)}.{digits(2)}.{digits(2)}.7", f"look at {word()}. {word().title()}"])
+
+    text, spans = "", []
+    for _ in range(30):
+        text += " ".join(word() for _ in range(r.randint(2, 9))) + " "
+        kind, make = r.choice([("email", address), ("ip", ip), ("card", card), ("phone", phone), (None, decoy)])
+        said = make()
+        if kind:
+            spans.append((kind, len(text), len(text) + len(said)))
+        text += said + " and " + word() + ". "
+    return text, spans
+
+
+def test_pii_finds_hidden_data(spark, sf):
+    """Forms that the base rules do not know, in texts that the model has not seen."""
+    model = pii.fit(documents(spark, sf.replace("0.01", "0.1")))
+    made = {i: hidden_data(i) for i in range(40)}
+    d = spark.createDataFrame([(i, t) for i, (t, _) in made.items()], "doc_id long, text string")
+    wanted = found = right = 0
+    for r in pii.find_pii(d, model).collect():
+        text, spans = made[r.pii_id]
+        assert [(pii.KINDS[x.kind], x.start, x.end) for k in r.pii_base for x in k] == base_spans(text)
+        got = [(pii.KINDS[x.kind], x.start, x.end) for x in r.pii_added]
+        near = lambda a, b: a[0] == b[0] and 5 * (min(a[2], b[2]) - max(a[1], b[1])) >= 4 * max(a[2] - a[1], b[2] - b[1])
+        base = base_spans(text)
+        wanted += sum(not any(near(x, b) for b in base) for x in spans)
+        found += sum(any(near(x, g) for g in got) for x in spans)
+        right += sum(any(near(x, g) for x in spans) for g in got)
+        total = len(got)
+        wrong = [text[g[1] : g[2]] for g in got if not any(near(x, g) for x in spans)]
+        assert len(wrong) <= max(3, 0.2 * total), wrong
+    assert found >= 0.9 * wanted, (found, wanted)
+    assert right >= 0.9 * sum(len(r.pii_added) for r in pii.find_pii(d, model).collect())
+
+
+def test_pii_of_a_text_with_many_spans(spark, docs):
+    import time
+
+    model = pii.fit(docs)
+    text = " ".join(f"u{i}@ex.io" for i in range(16_000)) + " end"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.find_pii(spark.createDataFrame([(1, "a@b.c")], d.schema), model).collect()
+    at = time.perf_counter()
+    r = pii.find_pii(d, model).first()
+    assert len(r.pii_base[0]) == 16_000 and not r.pii_added
+    assert time.perf_counter() - at < 20
+
+
+def test_written_anew_marks_what_is_there(spark):
+    t = "mail a.b@c.de or 1.2.3.4 pay 4539 1488 0343 6467 or call +1 (988) 555-2485 now"
+    d = spark.range(200).select(F.lit(t).alias("t"), F.col("id"))
+    d = d.select("id", pii.written_anew(F.col("t"), F.concat(*pii.base_spans(F.col("t"))), F.col("id")).alias("x"))
+    forms = defaultdict(set)
+    for r in d.collect():
+        assert r.x.text.startswith("mail ") and r.x.text.endswith(" now")
+        for m in r.x.marks:
+            forms[pii.KINDS[m.kind]].add(r.x.text[m.start : m.end])
+    assert {"a.b@c.de", "a.b (at) c (dot) de", "a.b at c dot de"} <= forms["email"] and {"1.2.3.4", "1[.]2[.]3[.]4"} <= forms["ip"]
+    assert {"4539.1488.0343.6467", "4539 1488 0343 6467"} <= forms["card"] and {"001 (988) 555-2485", "(988) 555-2485"} <= forms["phone"]
+    assert all(luhn(x) for x in forms["card"])
+
+
+def test_op5_query(spark, tiny):
+    texts = {r.doc_id: r.text or "" for r in documents(spark, tiny).collect()}
+    rows = pii.op5_pii(spark, tiny).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        base = base_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.KINDS]
+        said = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(said) <= set(spans)
+        order = [(pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])) for x in spans]
+        assert order == sorted(order)
+
+
 def test_boosted_trees_as_a_column(spark):
     import numpy as np
 
