@@ -263,7 +263,52 @@ def test_url_filter(spark, sf):
             *want, verdict = url_rule(u)
             assert got[:3] == want, u
             assert got[3] == verdict if verdict else got[3] == ("block" if score > 0.5 else "allow")
-    assert urls.fit(documents(spark, sf, "pages")).held_out > 0.9
+    model = urls.fit(documents(spark, sf.replace("0.01", "0.1"), "pages"))
+    assert model.unseen > 0.85 and model.seen > 0.85  # hosts that the trees were not fitted on
+    used = Counter()
+
+    def walk(tree):
+        if isinstance(tree, tuple):
+            used[urls.FEATURES[tree[0]].split(":")[0].split(" ")[0]] += 1
+            walk(tree[2])
+            walk(tree[3])
+
+    for tree in model.booster.trees:
+        walk(tree)
+    assert len(set(used) & {"length", "depth", "digit", "entropy", "parameters", "suffix"}) >= 5, used
+
+
+def test_suffix_statistics_are_those_of_all_labelled_urls(spark, sf):
+    """The hashed table against counts in Python over every labelled URL."""
+    d = documents(spark, sf, "pages")
+    model = urls.fit(d, sample=50)
+    count = Counter()
+    for r in d.collect():
+        host, path, _, verdict = url_rule(r.url)
+        if verdict:
+            two = ".".join(host.split(".")[-2:])
+            for i, e in enumerate((host.split(".")[-1], two, f"{two}/{path.split('/')[1] if path.startswith('/') else ''}", host)):
+                count[i, e] += 1
+                count[i, e, "block"] += verdict == "block"
+    keys = [k for k in count if len(k) == 2]
+    at = spark.createDataFrame(keys, "i int, e string").select("i", "e", F.pmod(F.xxhash64("i", "e"), F.lit(urls.BUCKETS)).alias("b")).collect()
+    want, hits = Counter(), Counter()
+    for r in at:
+        want[r.b] += count[r.i, r.e]
+        hits[r.b] += count[r.i, r.e, "block"]
+    total, blocked = model.total.sum(axis=(0, 1)), model.blocked.sum(axis=(0, 1))
+    assert {int(b): total[b] for b in total.nonzero()[0]} == dict(want)
+    assert all(blocked[b] == hits[b] for b in want)
+
+
+def test_op4_query(spark, tiny):
+    rows = {r.page_id: r for r in urls.op4_url_filter(spark, tiny).collect()}
+    pages = documents(spark, tiny, "pages").collect()
+    assert len(rows) == len(pages)
+    for p in pages:
+        r = rows[p.page_id]
+        *want, verdict = url_rule(p.url)
+        assert [r.host, r.path, r.rule] == want and r.verdict == (verdict or ("block" if r.score > 0.5 else "allow"))
 
 
 def luhn(s):
@@ -482,6 +527,26 @@ def test_licenses(spark, odd, docs):
     assert not search.find("the weather under the old town is fine")
 
 
+def test_an_edited_notice_in_front_of_a_clean_one():
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    text = "released under the mit licence released under the mit license"
+    assert [f for f in search.find(text) if f[0] == 0] == [(0, 0, 30, 1), (0, 31, 61, 0)]
+
+
+def test_op7_query(spark, tiny):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    texts = {r.doc_id: word.findall("".join(c.lower() if c.isascii() else c for c in r.text or "")) for r in documents(spark, tiny).collect()}
+    for r in licenses.op7_licenses(spark, tiny).collect():
+        w = texts[r.doc_id]
+        at = sorted((i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        want = (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want
+        joined = " ".join(w)
+        for span in filter(None, r.spans.split(",")):
+            label, a, b, errors = span.split(":")
+            assert label in r.labels.split(",") and 0 <= int(a) < int(b) <= len(joined)
+
+
 def test_notice_search_misses_no_place_within_the_edits():
     import random
 

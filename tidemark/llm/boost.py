@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,8 +15,9 @@ Tree = float | tuple
 
 
 class Booster:
-    def __init__(self, rounds: int = 24, depth: int = 3, rate: float = 0.3, bins: int = 32, penalty: float = 1.0):
-        self.rounds, self.depth, self.rate, self.bins, self.penalty = rounds, depth, rate, bins, penalty
+    def __init__(self, rounds: int = 24, depth: int = 3, rate: float = 0.3, bins: int = 32, penalty: float = 1.0, share: float = 1.0):
+        """share: of the features, those that a tree may split on, drawn anew for each tree."""
+        self.rounds, self.depth, self.rate, self.bins, self.penalty, self.share = rounds, depth, rate, bins, penalty, share
         self.base, self.trees, self.scale, self.shift = 0.0, [], 1.0, 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Booster:
@@ -27,9 +29,13 @@ class Booster:
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         code = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
         raw = np.full(len(y), self.base)
+        rng = np.random.default_rng(x.shape[1])
+        use = max(1, math.ceil(self.share * x.shape[1]))
         for _ in range(self.rounds):
+            mine = set(rng.permutation(x.shape[1])[:use].tolist())
+            offered = [e if j in mine else e[:0] for j, e in enumerate(edges)]
             p = 1 / (1 + np.exp(-raw))
-            tree, step = self._grow(code, edges, y - p, np.maximum(p * (1 - p), 1e-9), np.arange(len(y)), self.depth)
+            tree, step = self._grow(code, offered, y - p, np.maximum(p * (1 - p), 1e-9), np.arange(len(y)), self.depth)
             self.trees.append(tree)
             raw += step
         return self

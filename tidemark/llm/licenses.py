@@ -33,6 +33,16 @@ NOTICES = (
     ("licensed under cc by sa 4 0", "cc-by-sa", 2),
     ("creative commons attribution", "cc-by", 2),
     ("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 4),
+    ("boost software license version 1 0", "boost", 3),
+    ("this software is provided as is without any express or implied warranty", "zlib", 4),
+    ("eclipse public license", "epl", 2),
+    ("licensed under cc by nd 4 0", "cc-by-nd", 2),
+    ("cc0 1 0 universal", "cc0", 1),
+    ("spdx license identifier mit", "mit", 1),
+    ("spdx license identifier apache 2 0", "apache", 1),
+    ("spdx license identifier gpl 2 0", "gpl-2", 1),
+    ("spdx license identifier gpl 3 0", "gpl-3", 1),
 )
 
 
@@ -62,24 +72,20 @@ class NoticeSearch:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of the places found, those of a notice apart from each other."""
-        windows: dict[int, list[list[int]]] = {}
+        # a window about each seed has room for one notice, so a better copy next to a notice does not hide it
+        windows: set[tuple[int, int, int]] = set()
         for end, (size, at) in self.seeds.iter(text):
             for n, offset in at:
                 phrase, _, k = self.notices[n]
-                lo = max(0, end + 1 - size - offset - k)
-                hi = min(len(text), end + 1 - size - offset + len(phrase) + k)
-                mine = windows.setdefault(n, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], hi)
-                else:
-                    mine.append([lo, hi])
-        out = []
-        for n, spans in windows.items():
-            for lo, hi in spans:
-                for m in self.fuzzy[n].finditer(text, lo, hi):
-                    out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                first = end + 1 - size - offset
+                windows.add((n, max(0, first - k), min(len(text), first + len(phrase) + k)))
+        places = set()
+        for n, lo, hi in windows:
+            for m in self.fuzzy[n].finditer(text, lo, hi):
+                places.add((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+        out = list(places)
         # of places that overlap, those with the fewest edits; only places in one run of overlaps are compared
-        out.sort(key=lambda f: (f[1], f[0]))
+        out.sort(key=lambda f: (f[1], f[0], f[2]))
         best: list[tuple[int, int, int, int]] = []
         run: list[tuple[int, int, int, int]] = []
         end = -1
@@ -87,7 +93,7 @@ class NoticeSearch:
             if f is None or f[1] >= end:
                 kept: list[tuple[int, int, int, int]] = []
                 for x in sorted(run, key=lambda x: (x[3], x[1], x[0])):
-                    if all(x[2] <= g[1] or g[2] <= x[1] or x[3] == g[3] for g in kept):
+                    if all(x[2] <= g[1] or g[2] <= x[1] or (x[3] == g[3] and x[0] != g[0]) for g in kept):
                         kept.append(x)
                 best += kept
                 run = []
@@ -152,4 +158,5 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ls_base_labels").alias("base_labels"),
         F.col("ls_labels").alias("labels"),
         F.col("ls_score").alias("score"),
+        F.array_join(F.transform("ls_spans", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"], x["errors"])), ",").alias("spans"),
     )
