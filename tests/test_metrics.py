@@ -75,6 +75,63 @@ def test_nulls_are_skipped_and_empty_raises(spark):
         report.report(d.where("false"))
 
 
+def test_null_keys_stay(spark):
+    """Every operator that works in two steps per key keeps the null key's rows."""
+    x = [0.01, -0.02, 0.03, 0.015, -0.01, 0.02, -0.03, 0.04, 0.01, -0.005, 0.02, 0.01]
+    d = spark.createDataFrame([(k, i, v, v / 2 + 0.001 * i) for k in ("a", None) for i, v in enumerate(x)], "k string, t int, r double, b double")
+    keys = {"a", None}
+
+    def same(df, *names):
+        rows = {r.k: tuple(r[n] for n in names) for r in df.collect()}
+        assert set(rows) == keys and rows["a"] == pytest.approx(rows[None])
+
+    same(report.full_metrics(d, ["k"], b="b"), "sharpe", "cvar", "outlier_win_ratio", "shapiro_w", "max_drawdown", "beta", "consecutive_wins")
+    same(ordered.cvar(d, ["k"]), "cvar")
+    same(ordered.outlier_ratios(d, ["k"]), "outlier_win_ratio")
+    same(ordered.tail_dependence(d, ["k"], "r", "b", quantile=0.2), "lower_tail_dependence")
+    same(models.entropic_var(d, ["k"]), "entropic_var")
+    same(models.shapiro(d, ["k"]), "shapiro_w", "shapiro_p")
+    for f in (ordered.outliers, ordered.remove_outliers, ordered.outliers_iqr, ordered.remove_outliers_iqr):
+        rows = Counter(r.k for r in f(d, ["k"]).collect())
+        assert rows["a"] == rows[None], f
+    bins = {k: [r["count"] for r in ordered.histogram(d, ["k"], bins=4).where(F.col("k").eqNullSafe(F.lit(k))).orderBy("bin").collect()] for k in keys}
+    assert bins["a"] == bins[None] and sum(bins[None]) == len(x)
+
+
+def test_the_report_is_one_scan_and_one_shuffle(spark, sf):
+    """The daily series costs one exchange; the report over it reads it once, and what is not selected is not computed."""
+    from tidemark.sources import series
+
+    for name in ("metrics_summary", "drawdown_metrics", "report_metrics", "full_metrics", "distribution"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1, name
+    d = series.daily(spark, sf)
+    plan = report.full_metrics(d, catalog.KEY, shapiro=False).select(*catalog.KEY, "sharpe")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "Window" not in plan
+
+
+def test_a_benchmark_with_rows_of_its_own(spark):
+    from tidemark.plans import api
+
+    r, b = [0.01, -0.02, 0.03, 0.02], [0.02, -0.01, 0.01, 0.03]
+    d = spark.createDataFrame([(k, i, x) for k in ("a", None) for i, x in enumerate(r)], "k string, t int, r double")
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(b[:3])] + [(9, 0.5)], "t int, b double")
+    got = api.of(d, ["k"]).with_benchmark(own).greeks().collect()
+    beta = np.cov(r[:3], b[:3])[0, 1] / np.var(b[:3], ddof=1)
+    assert {x.k for x in got} == {"a", None} and all(x.beta == pytest.approx(beta) for x in got)
+    keyed = spark.createDataFrame([(None, i, x) for i, x in enumerate(b)], "k string, t int, b double")
+    assert [x.k for x in api.of(d, ["k"]).with_benchmark(keyed).greeks().collect()] == [None]
+
+
+def test_drawdown_episodes_with_dates(spark):
+    import datetime
+
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(days=2 * i)
+    d = spark.createDataFrame([("a", day(i), x) for i, x in enumerate([0.10, -0.20, 0.26, 0.05, -0.15, -0.05])], "k string, t date, r double")
+    got = ordered.drawdown_details(d, ["k"], dates=True).orderBy("rank").collect()
+    assert [(x.start_date, x.valley_date, x.end_date) for x in got] == [(day(0), day(1), day(2)), (day(3), day(5), day(5))]
+
+
 def test_drawdown_episodes(spark):
     d = table(spark, a=[0.10, -0.20, 0.26, 0.05, -0.15, -0.05, 0.30], b=[0.10, -0.15, -0.10, 0.05, 0.20, -0.25, 0.10], c=[-0.05, 0.01])
     got = [tuple(r) for r in ordered.drawdown_details(d, ["k"]).orderBy("k", "rank").collect()]

@@ -7,11 +7,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .ordered import clean
+from .ordered import by_key, clean
 
 
 def chi2_sf(x: float, k: int) -> float:
@@ -77,15 +79,23 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
 SHAPIRO_ROWS = 5000  # the test's own limit: its first rows only
 
 
-def shapiro(df: DataFrame, key: list[str], t: str = "t", r: str = "r") -> DataFrame:
-    d = clean(df, r).withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(t))).where(F.col("_i") <= SHAPIRO_ROWS)
-    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in key)
+@F.arrow_udf(StructType([StructField("w", DoubleType()), StructField("p", DoubleType())]))
+def royston(values: pa.Array) -> pa.Array:
+    """shapiro_wilk of each array."""
+    found = [shapiro_wilk(v.values.to_numpy(zero_copy_only=False)) for v in values]
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], ["w", "p"])
+
 
-    def work(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf[r].to_numpy())
-        return pd.DataFrame([[*group, w, p]], columns=[*key, "shapiro_w", "shapiro_p"])
+def first_values(r: Column, at: Column) -> Column:
+    """The values that the test is made on, at most SHAPIRO_ROWS of a key; at: the row's number from 1."""
+    return F.collect_list(F.when(at <= SHAPIRO_ROWS, r))
 
-    return d.groupBy(*key).applyInPandas(work, f"{kinds}, shapiro_w double, shapiro_p double")
+
+def shapiro(df: DataFrame, key: list[str], t: str = "t", r: str = "r") -> DataFrame:
+    """shapiro_w and shapiro_p of each key, null included, on its first SHAPIRO_ROWS values."""
+    d = clean(df, r).withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(t)))
+    d = d.groupBy(*key).agg(first_values(F.col(r), F.col("_i")).alias("_first")).withColumn("_first", royston("_first"))
+    return d.select(*key, F.col("_first.w").alias("shapiro_w"), F.col("_first.p").alias("shapiro_p"))
 
 
 def entropic_var(df: DataFrame, key: list[str], r: str = "r", *, confidence: float = 0.95, low: float = 0.01, high: float = 100.0, steps: int = 45) -> DataFrame:
@@ -98,7 +108,7 @@ def entropic_var(df: DataFrame, key: list[str], r: str = "r", *, confidence: flo
     grid = 32
     for _ in range(4):
         zs = [F.col("lo") + (F.col("hi") - F.col("lo")) * i / grid for i in range(grid + 1)]
-        j = d.join(span, key) if key else d.crossJoin(F.broadcast(span))
+        j = by_key(d, span, key)
         s = j.groupBy(*key, "lo", "hi").agg(*(F.avg(F.exp(-q * F.col(r))).alias(f"m{i}") for i, q in enumerate(zs)))
         each = F.array(*(F.struct((F.log(F.col(f"m{i}") / (1 - confidence)) / q).alias("v"), q.alias("z")) for i, q in enumerate(zs)))
         step = (F.col("hi") - F.col("lo")) / grid

@@ -28,6 +28,15 @@ def running(key: Keys, t: str) -> Window:
     return w(key, t).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def by_key(left: DataFrame, right: DataFrame, key: Keys) -> DataFrame:
+    """left with the columns of right, which has one row per key; null keys meet."""
+    if not key:
+        return left.crossJoin(F.broadcast(right))
+    named = right.select(*(F.col(c).alias(f"_k_{c}") if c in key else F.col(c) for c in right.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
+    return left.join(named, same).drop(*(f"_k_{c}" for c in key))
+
+
 def cumulative_returns(df: DataFrame, key: Keys, t: str = "t", r: str = "r") -> DataFrame:
     """df with `cumulative`, the compounded return so far; `equity_curve` and `compound_returns` are the same."""
     return clean(df, r).withColumn("cumulative", F.product(1.0 + F.col(r)).over(running(key, t)) - 1.0)
@@ -45,12 +54,14 @@ def drawdowns(df: DataFrame, key: Keys, t: str = "t", r: str = "r") -> DataFrame
 
 def drawdown_stats(df: DataFrame, key: Keys, t: str = "t", r: str = "r") -> DataFrame:
     """max_drawdown and ulcer_index of each key."""
+    return drawdowns(df, key, t, r).groupBy(*key).agg(*(c.alias(n) for n, c in drawdown_aggregates().items()))
+
+
+def drawdown_aggregates() -> dict[str, Column]:
+    """max_drawdown and ulcer_index over the rows of drawdowns()."""
     square = F.sum(F.col("drawdown") * F.col("drawdown"))
     n = F.count("*")
-    return drawdowns(df, key, t, r).groupBy(*key).agg(
-        F.min("drawdown").alias("max_drawdown"),
-        F.when(n > 1, F.sqrt(square / F.nullif(n - 1, F.lit(0)))).otherwise(0.0).alias("ulcer_index"),
-    )
+    return {"max_drawdown": F.min("drawdown"), "ulcer_index": F.when(n > 1, F.sqrt(square / F.nullif(n - 1, F.lit(0)))).otherwise(0.0)}
 
 
 def streaks(df: DataFrame, key: Keys, t: str = "t", r: str = "r") -> DataFrame:
@@ -70,8 +81,13 @@ def autocorrelation(df: DataFrame, key: Keys, t: str = "t", r: str = "r", lag: i
     mean = F.avg(r).over(Window.partitionBy(*key))
     d = d.withColumn("x", F.col(r) - mean)
     d = d.withColumn("y", F.lag("x", lag).over(w(key, t)))
-    top, all_ = F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))
-    return d.groupBy(*key).agg(F.when((F.count("*") > lag) & (all_ > 1e-300), top / F.nullif(all_, F.lit(0.0))).alias("autocorr"))
+    return d.groupBy(*key).agg(lagged_ratio(F.col("x"), F.col("y"), lag).alias("autocorr"))
+
+
+def lagged_ratio(x: Column, before: Column, lag: int) -> Column:
+    """Of deviations and those `lag` rows before: the sum of products over the sum of squares."""
+    top, all_ = F.sum(x * before), F.sum(x * x)
+    return F.when((F.count("*") > lag) & (all_ > 1e-300), top / F.nullif(all_, F.lit(0.0)))
 
 
 def smart_penalty(autocorr: Column) -> Column:
@@ -102,12 +118,16 @@ def newey_west_se(df: DataFrame, key: Keys, t: str = "t", r: str = "r", lags: in
 def k_ratio(df: DataFrame, key: Keys, t: str = "t", r: str = "r") -> DataFrame:
     """Slope of the running sum of returns over its standard error."""
     d = clean(df, r).withColumns({"y": F.sum(r).over(running(key, t)), "x": (F.row_number().over(w(key, t)) - 1).cast("double")})
-    sxx, sxy, syy = F.regr_sxx("y", "x"), F.regr_sxy("y", "x"), F.regr_syy("y", "x")
+    return d.groupBy(*key).agg(trend_ratio(F.col("y"), F.col("x")).alias("k_ratio"))
+
+
+def trend_ratio(y: Column, x: Column) -> Column:
+    """The slope of y on x over its standard error."""
+    sxx, sxy, syy = F.regr_sxx(y, x), F.regr_sxy(y, x), F.regr_syy(y, x)
     slope = sxy / F.nullif(sxx, F.lit(0.0))
     left = F.greatest(syy - sxy * sxy / F.nullif(sxx, F.lit(0.0)), F.lit(0.0))
     se = F.sqrt(left / F.nullif(F.count("*") - 2, F.lit(0)) / F.nullif(sxx, F.lit(0.0)))
-    out = F.when(F.count("*") < 3, 0.0).when(se != 0, slope / se).when(slope > 0, INF).otherwise(0.0)
-    return d.groupBy(*key).agg(out.alias("k_ratio"))
+    return F.when(F.count("*") < 3, 0.0).when(se != 0, slope / se).when(slope > 0, INF).otherwise(0.0)
 
 
 # --- rolling windows ----------------------------------------------------------------------------------------
@@ -144,50 +164,55 @@ def rolling(df: DataFrame, key: Keys, t: str = "t", r: str = "r", b: str | None
 # --- episodes, calendars, histograms ---------------------------------------------------------------------
 
 
-def drawdown_details(df: DataFrame, key: Keys, t: str = "t", r: str = "r", *, top_n: int = 5) -> DataFrame:
+def drawdown_details(df: DataFrame, key: Keys, t: str = "t", r: str = "r", *, top_n: int = 5, dates: bool = False) -> DataFrame:
     """The deepest episodes of each key: start, valley, end (row numbers from 0), depth, length, recovery.
 
     start: the peak before the first loss; end: the row that recovers, else the last one, and then
-    recovery is null.
+    recovery is null. With `dates`, start_date, valley_date and end_date are the values of t there.
     """
-    d = drawdowns(df, key, t, r).withColumn("i", F.row_number().over(w(key, t)) - 1)
-    d = d.withColumns({"last": F.max("i").over(Window.partitionBy(*key)), "below": F.col("drawdown") < 0})
+    by_time = w(key, t)
+    d = drawdowns(df, key, t, r).withColumn("i", F.row_number().over(by_time) - 1)
+    d = d.withColumns({"last": F.max("i").over(Window.partitionBy(*key)), "below": F.col("drawdown") < 0, "before": F.lag(t).over(by_time), "after": F.lead(t).over(by_time)})
     d = d.withColumn("island", F.sum(F.when(F.col("below"), 0).otherwise(1)).over(running(key, t)))
     e = d.where("below").groupBy(*key, "island").agg(
         F.min("i").alias("first"), F.max("i").alias("end_in"), F.min("drawdown").alias("depth"),
         F.min_by("i", F.struct("drawdown", "i")).alias("valley"), F.first("last").alias("last"),
+        F.coalesce(F.min_by("before", "i"), F.min(t)).alias("start_date"), F.min_by(t, F.struct("drawdown", "i")).alias("valley_date"),
+        F.coalesce(F.max_by("after", "i"), F.max(t)).alias("end_date"),
     )
     done = F.col("end_in") < F.col("last")
     e = e.withColumns({"start": F.greatest(F.col("first") - 1, F.lit(0)), "end": F.when(done, F.col("end_in") + 1).otherwise(F.col("last"))})
     e = e.withColumns({"length": F.col("end") - F.col("start") + 1, "recovery": F.when(done, F.col("end") - F.col("valley"))})
     by = Window.partitionBy(*key).orderBy("depth", "start")
     return e.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_n).select(
-        *key, "rank", "start", "valley", "end", "depth", "length", "recovery"
+        *key, "rank", "start", "valley", "end", "depth", "length", "recovery", *(("start_date", "valley_date", "end_date") if dates else ())
     )
 
 
 def period_returns(df: DataFrame, key: Keys, date: str, unit: str, r: str = "r", compounded: bool = True) -> DataFrame:
     """key, `period`, `ret` for unit D, W (calendar year and ISO week), M, Q or Y; yearly_returns is unit Y."""
-    d = clean(df, r)
+    out = F.product(1.0 + F.col(r)) - 1.0 if compounded else F.sum(r)
+    return clean(df, r).groupBy(*key, period_labels(date)[unit].alias("period")).agg(out.alias("ret"))
+
+
+def period_labels(date: str) -> dict[str, Column]:
     y = F.year(date)
-    label = {
+    return {
         "D": F.date_format(date, "yyyy-MM-dd"),
         "W": F.concat_ws("-", y, F.weekofyear(date)),
         "M": F.concat_ws("-", y, F.month(date)),
         "Q": F.concat_ws("-", y, F.quarter(date)),
         "Y": y.cast("string"),
-    }[unit]
-    out = F.product(1.0 + F.col(r)) - 1.0 if compounded else F.sum(r)
-    return d.groupBy(*key, label.alias("period")).agg(out.alias("ret"))
+    }
 
 
-def monthly_returns(df: DataFrame, date: str, years: list[int] | None = None, r: str = "r", compounded: bool = True) -> DataFrame:
-    """A row per month, a column per year; without `years`, for every year of the series, which one small aggregate finds."""
+def monthly_returns(df: DataFrame, date: str, years: list[int] | None = None, r: str = "r", compounded: bool = True, key: Keys = ()) -> DataFrame:
+    """A row per key and month, a column per year; without `years`, for every year of the series, which one small aggregate finds."""
     out = F.product(1.0 + F.col(r)) - 1.0 if compounded else F.sum(r)
     d = clean(df, r).withColumn("year", F.year(date))
     if years is None:
         years = sorted(x.year for x in d.where("year IS NOT NULL").select("year").distinct().collect())
-    return d.groupBy(F.month(date).alias("month")).pivot("year", years).agg(out)
+    return d.groupBy(*key, F.month(date).alias("month")).pivot("year", years).agg(out)
 
 
 def distribution(df: DataFrame, key: Keys, date: str, r: str = "r", compounded: bool = True) -> DataFrame:
@@ -195,10 +220,11 @@ def distribution(df: DataFrame, key: Keys, date: str, r: str = "r", compounded:
 
     Quartiles are nearest-rank picks of the sorted values; outliers lie 1.5 interquartile ranges outside.
     """
-    parts = [period_returns(df, key, date, u, r, compounded).withColumn("frequency", F.lit(u)) for u in "DWMQY"]
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p)
+    # one scan: each return goes to its five periods, aggregated before the shuffle
+    each = F.explode(F.array(*(F.struct(F.lit(u).alias("frequency"), label.alias("period")) for u, label in period_labels(date).items()))).alias("of")
+    d = clean(df, r).select(*key, F.col(r), each)
+    out = F.product(1.0 + F.col(r)) - 1.0 if compounded else F.sum(r)
+    d = d.groupBy(*key, F.col("of.frequency").alias("frequency"), F.col("of.period").alias("period")).agg(out.alias("ret"))
     by = Window.partitionBy(*key, "frequency")
     d = d.withColumns({"at": F.row_number().over(by.orderBy("ret")) - 1, "n": F.count("*").over(by)})
     pick = lambda q: F.max(F.when(F.col("at") == F.floor((F.col("n") - 1) * q + 0.5), F.col("ret"))).over(by)
@@ -211,6 +237,17 @@ def distribution(df: DataFrame, key: Keys, date: str, r: str = "r", compounded:
     )
 
 
+def aligned(df: DataFrame, benchmark: DataFrame, key: Keys, t: str = "t", b: str = "b") -> DataFrame:
+    """df with the benchmark's column b of the same key and time; `benchmark` has the key's columns that it is kept by, or none.
+
+    Rows without a counterpart are gone, as are null times; a (key, time) that the benchmark repeats repeats the row.
+    """
+    on = [*(k for k in key if k in benchmark.columns), t]
+    other = benchmark.select(*(F.col(c).alias(f"_k_{c}") for c in on), b)
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on if c != t]
+    return df.join(other, [F.col(t) == F.col(f"_k_{t}"), *same]).drop(*(f"_k_{c}" for c in on))
+
+
 def compare(df: DataFrame, r: str = "r", b: str = "b") -> DataFrame:
     """df with excess and win (0 or 1) against the benchmark column."""
     return df.withColumns({"excess": F.col(r) - F.col(b), "win": F.when(F.col(r) > F.col(b), 1).otherwise(0)})
@@ -224,10 +261,12 @@ def histogram(df: DataFrame, key: Keys, r: str = "r", *, bins: int = 50, density
     s = s.withColumns({"lo": F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5), "hi": F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5)})
     s = s.withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins"))
     at = F.greatest(F.lit(0), F.least(F.ceil((F.col(r) - F.col("lo")) / F.col("width")) - 1, F.col("bins") - 1)).cast("int")
-    j = d.join(s, key) if key else d.crossJoin(F.broadcast(s))
+    j = by_key(d, s, key)
     counts = j.groupBy(*key, at.alias("bin")).agg(F.count("*").alias("count"))
     every = s.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    out = every.join(counts, [*key, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    counts = counts.select(*(F.col(c).alias(f"_k_{c}") for c in [*key, "bin"]), "count")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*key, "bin"]]
+    out = every.join(counts, same, "left").drop(*(f"_k_{c}" for c in [*key, "bin"])).withColumn("count", F.coalesce("count", F.lit(0)))
     out = out.withColumns({"bin_start": F.col("lo") + F.col("bin") * F.col("width"), "bin_end": F.col("lo") + (F.col("bin") + 1) * F.col("width"), "frequency": F.col("count") / F.col("n")})
     out = out.withColumn("bin_center", (F.col("bin_start") + F.col("bin_end")) / 2)
     extra = [(F.col("frequency") / F.col("width")).alias("density")] if density else []
@@ -241,7 +280,7 @@ def with_quantiles(df: DataFrame, key: Keys, r: str, **q: Column) -> DataFrame:
     """df joined with per-key aggregates; the aggregate is one row per key, so Spark may broadcast it."""
     d = clean(df, r)
     s = d.groupBy(*key).agg(*(c.alias(name) for name, c in q.items()))
-    return d.join(s, key) if key else d.crossJoin(F.broadcast(s))
+    return by_key(d, s, key)
 
 
 def outliers(df: DataFrame, key: Keys, r: str = "r", *, quantile: float = 0.95) -> DataFrame:
@@ -294,7 +333,7 @@ def tail_dependence(df: DataFrame, key: Keys, a: str, b: str, *, quantile: float
         raise ValueError("quantile must lie between 0 and 0.5")
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     s = d.groupBy(*key).agg(F.percentile(a, F.lit(quantile)).alias("qa"), F.percentile(b, F.lit(quantile)).alias("qb"))
-    j = d.join(s, key) if key else d.crossJoin(F.broadcast(s))
+    j = by_key(d, s, key)
     low = F.col(a) <= F.col("qa")
     return j.groupBy(*key).agg(safe_div(F.count_if(low & (F.col(b) <= F.col("qb"))), F.count_if(low)).alias("lower_tail_dependence"))
 

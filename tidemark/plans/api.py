@@ -72,6 +72,28 @@ class Series:
     def recovery_factor(self) -> DataFrame:
         return self._of(("recovery_factor",), shapiro=False)
 
+    def smart_sharpe(self, **options) -> DataFrame:
+        return self._of(("smart_sharpe",), shapiro=False, **options)
+
+    def smart_sortino(self, **options) -> DataFrame:
+        return self._of(("smart_sortino",), shapiro=False, **options)
+
+    def serenity_index(self, **options) -> DataFrame:
+        return self._of(("serenity_index",), shapiro=False, **options)
+
+    def outlier_win_ratio(self, *, quantile: float = 0.99) -> DataFrame:
+        return self._of(("outlier_win_ratio",), shapiro=False, quantile=quantile)
+
+    def outlier_loss_ratio(self, *, quantile: float = 0.99) -> DataFrame:
+        return self._of(("outlier_loss_ratio",), shapiro=False, quantile=quantile)
+
+    def k_ratio(self) -> DataFrame:
+        return o.k_ratio(self.df, self.key, self.t, self.r)
+
+    def with_benchmark(self, benchmark: DataFrame, b: str = "b") -> Series:
+        """This series with a benchmark that has rows of its own, aligned by time (and by the key's columns that it has)."""
+        return Series(o.aligned(self.df, benchmark, self.key, self.t, b), self.key, self.t, self.r, b)
+
     def greeks(self, **options) -> DataFrame:
         """alpha and beta."""
         args = (self.r, self.b)
@@ -105,6 +127,9 @@ class Series:
     def rolling_greeks(self, **options) -> DataFrame:
         return self._rolling("rolling_alpha", "rolling_beta", **options)
 
+    def rolling_beta(self, **options) -> DataFrame:
+        return self._rolling("rolling_beta", **options)
+
     def _rolling(self, *names: str, **options) -> DataFrame:
         return o.rolling(self.df, self.key, self.t, self.r, self.b, **options).select(*self.df.columns, *names)
 

@@ -121,7 +121,15 @@ def sharpe_tests(spark, sf):
     )
 
 
-@query("probabilistic_sharpe")
+def _phi(z: str) -> str:
+    """The normal distribution function as its power series, for |z| up to 9."""
+    x = f"least(greatest({z}, -9), 9)"
+    term = "pow(x, 2 * k + 1) / exp((k + 1) * ln(2) + lgamma(k + 1.5) - ln(pi()) / 2)"
+    return f"(SELECT 0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * sum({term}) FROM (SELECT {x} AS x, CAST(unnest(range(120)) AS DOUBLE) AS k) GROUP BY x)"
+
+
+@query("probabilistic_sharpe", f"""{cte()}, z AS (SELECT {K}, {SHARPE_} / sqrt({_ADJ} / (count(*) - 1)) AS z, ({SHARPE_} - {m.expected_max_sharpe(10)!r}) / sqrt({_ADJ} / (count(*) - 1)) AS dz FROM s GROUP BY {K})
+  SELECT {K}, round({_phi("z.z")}, 8) + 0.0 AS psr, round(1 - {_phi("z.z")}, 8) + 0.0 AS p_value, round({_phi("z.dz")}, 8) + 0.0 AS dsr FROM z""")
 def probabilistic_sharpe(spark, sf):
     d = series.daily(spark, sf).groupBy(*KEY).agg(m.psr_z("r").alias("z"), m.deflated_sharpe_z("r", 10).alias("dz"))
     return shown(d.select(*KEY, m.phi(F.col("z")).alias("psr"), (1 - m.phi(F.col("z"))).alias("p_value"), m.phi(F.col("dz")).alias("dsr")))
@@ -169,6 +177,19 @@ def drawdown_details(spark, sf):
     return shown(d.select(*KEY, "rank", *(F.col(c).cast("int").alias(c) for c in ("start", "valley", "end")), "depth", *(F.col(c).cast("int").alias(c) for c in ("length", "recovery"))))
 
 
+@query("drawdown_dates", f"""{cte(*DD)},
+  n AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY {K}) - 1 AS last FROM d),
+  g AS (SELECT *, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) OVER ({RUN}) AS island FROM n),
+  e AS (SELECT {K}, island, greatest(min(i) - 1, 0) AS a, least(max(i) + 1, max(last)) AS z, min(drawdown) AS depth, arg_min(i, struct_pack(a := drawdown, b := i)) AS v
+    FROM g WHERE drawdown < 0 GROUP BY {K}, island),
+  f AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY depth, a) AS rank FROM e)
+  SELECT {", ".join(f"f.{k}" for k in KEY)}, CAST(f.rank AS INT) AS rank, x.t AS start_date, y.t AS valley_date, w.t AS end_date FROM f
+    JOIN n x ON x.i = f.a AND {" AND ".join(f"x.{k} = f.{k}" for k in KEY)} JOIN n y ON y.i = f.v AND {" AND ".join(f"y.{k} = f.{k}" for k in KEY)}
+    JOIN n w ON w.i = f.z AND {" AND ".join(f"w.{k} = f.{k}" for k in KEY)} WHERE f.rank <= 5""")
+def drawdown_dates(spark, sf):
+    return ordered.drawdown_details(series.daily(spark, sf), KEY, dates=True).select(*KEY, "rank", "start_date", "valley_date", "end_date")
+
+
 @query("streaks", f"""{cte()}, g AS (SELECT *, sum(CASE WHEN r > 0 THEN 0 ELSE 1 END) OVER ({RUN}) AS w, sum(CASE WHEN r < 0 THEN 0 ELSE 1 END) OVER ({RUN}) AS l FROM s),
   a AS (SELECT {K}, w, count(*) AS n FROM g WHERE r > 0 GROUP BY ALL), b AS (SELECT {K}, l, count(*) AS n FROM g WHERE r < 0 GROUP BY ALL)
   SELECT x.*, y.consecutive_losses FROM (SELECT {K}, max(n) AS consecutive_wins FROM a GROUP BY {K}) x JOIN (SELECT {K}, max(n) AS consecutive_losses FROM b GROUP BY {K}) y USING ({K})""")
@@ -183,16 +204,26 @@ _AC = f"x AS (SELECT *, r - avg(r) OVER (PARTITION BY {K}) AS x FROM s), y AS (S
   SELECT {K}, {picks({"autocorr": "ac", "smart_sharpe": "CASE WHEN 1 + 2 * ac > 0 THEN sh / sqrt(1 + 2 * ac) ELSE 0 END", "smart_sortino": "CASE WHEN 1 + 2 * ac > 0 THEN so / sqrt(1 + 2 * ac) ELSE 0 END"})} FROM z""")
 def smart_ratios(spark, sf):
     d = series.daily(spark, sf)
-    a = d.groupBy(*KEY).agg(m.sharpe("r").alias("sh"), m.sortino("r").alias("so")).join(ordered.autocorrelation(d, KEY), KEY)
+    a = d.groupBy(*KEY).agg(m.sharpe("r").alias("sh"), m.sortino("r").alias("so"))
+    a = ordered.by_key(a, ordered.autocorrelation(d, KEY), KEY)
     p = ordered.smart_penalty(F.col("autocorr"))
     return shown(a.select(*KEY, "autocorr", F.coalesce(F.col("sh") / p, F.lit(0.0)).alias("smart_sharpe"), F.coalesce(F.col("so") / p, F.lit(0.0)).alias("smart_sortino")))
 
 
-_NW = " + ".join(f"2 * (1 - {j} / 6.0) * sum(x * x{j})" for j in range(1, 6))
-_NL = ", ".join(f"lag(x, {j}) OVER (PARTITION BY {K} ORDER BY t) AS x{j}" for j in range(1, 6))
+_NW_MOST = 20  # lags that the SQL can add up: enough for 139,000 returns a key
 
 
-@query("newey_west_se", f"{cte()}, x AS (SELECT *, r - avg(r) OVER (PARTITION BY {K}) AS x FROM s), y AS (SELECT *, {_NL} FROM x) SELECT {K}, round(sqrt((sum(x * x) + {_NW}) / count(*) / count(*)), 8) + 0.0 AS newey_west_se FROM y GROUP BY {K}")
+def _bartlett(j: int) -> str:
+    return f"greatest(1 - {j} / (max(lags) + 1.0), 0) * coalesce(sum(x * x{j}), 0)"
+
+
+_NW = " + ".join(f"2 * {_bartlett(j)}" for j in range(1, _NW_MOST + 1))
+_NL = ", ".join(f"lag(x, {j}) OVER (PARTITION BY {K} ORDER BY t) AS x{j}" for j in range(1, _NW_MOST + 1))
+
+
+@query("newey_west_se", f"""{cte()}, x AS (SELECT *, r - avg(r) OVER (PARTITION BY {K}) AS x, count(*) OVER (PARTITION BY {K}) AS n FROM s),
+  y AS (SELECT *, greatest(1, least(floor(4 * pow(n / 100.0, 2.0 / 9)), n - 2)) AS lags, {_NL} FROM x)
+  SELECT {K}, round(sqrt((sum(x * x) + {_NW}) / count(*) / count(*)), 8) + 0.0 AS newey_west_se FROM y GROUP BY {K}""")
 def newey_west(spark, sf):
     return shown(ordered.newey_west_se(series.daily(spark, sf), KEY))
 
@@ -231,7 +262,7 @@ for _u, _label in LABELS.items():
     query(f"period_returns_{_u.lower()}", f"{cte()} SELECT {K}, {_label} AS period, round(product(1 + r) - 1, 8) + 0.0 AS ret FROM s GROUP BY ALL")(
         lambda spark, sf, u=_u: shown(ordered.period_returns(series.daily(spark, sf), KEY, "t", u))
     )
-YEARS = list(range(1992, 1999))
+YEARS = list(range(1995, 2002))  # that the tables hold, which the query finds by itself
 
 
 @query("monthly_returns", cte(key="1 AS one") + f" SELECT CAST(month(t) AS INT) AS month, {', '.join(f'round(product(1 + r) FILTER (WHERE year(t) = {y}) - 1, 8) + 0.0 AS "{y}"' for y in YEARS)} FROM s GROUP BY 1")
@@ -239,6 +270,22 @@ def monthly_returns(spark, sf):
     return shown(ordered.monthly_returns(series.daily(spark, sf, []), "t"))
 
 
+@query("monthly_returns_by_key", cte() + f" SELECT {K}, CAST(month(t) AS INT) AS month, {', '.join(f'round(product(1 + r) FILTER (WHERE year(t) = {y}) - 1, 8) + 0.0 AS "{y}"' for y in YEARS)} FROM s GROUP BY ALL")
+def monthly_returns_by_key(spark, sf):
+    return shown(ordered.monthly_returns(series.daily(spark, sf), "t", key=KEY))
+
+
+@query("aligned_benchmark", f"""{cte()}, b AS (SELECT t AS bt, avg(b) AS m FROM s GROUP BY t HAVING count(*) > 2)
+  SELECT {K}, round(covar_pop(r, m) / var_pop(m), 8) + 0.0 AS beta, round((avg(r) - covar_pop(r, m) / var_pop(m) * avg(m)) * 252, 8) + 0.0 AS alpha FROM s JOIN b ON s.t = b.bt GROUP BY {K}""")
+def aligned_benchmark(spark, sf):
+    """A benchmark with rows of its own, on some of the days only."""
+    from . import api
+
+    d = series.daily(spark, sf)
+    days = d.groupBy("t").agg(F.avg("b").alias("m"), F.count("*").alias("n")).where("n > 2").drop("n")
+    return shown(api.of(d.drop("b"), KEY).with_benchmark(days, "m").greeks())
+
+
 _PERIODS = " UNION ALL ".join(f"SELECT {K}, '{u}' AS frequency, {label} AS period, product(1 + r) - 1 AS ret FROM s GROUP BY ALL" for u, label in LABELS.items())
 
 
@@ -302,7 +349,7 @@ _CORR = "covar_samp(r, b) FILTER (WHERE r {c} 0) / (stddev_samp(r) FILTER (WHERE
 @query("side_correlations", f"{cte()} SELECT {K}, {picks({'downside_correlation': _CORR.format(c='<'), 'upside_correlation': _CORR.format(c='>')})} FROM s GROUP BY {K}")
 def side_correlations(spark, sf):
     d = series.daily(spark, sf)
-    return shown(ordered.side_correlation(d, KEY, "r", "b").join(ordered.side_correlation(d, KEY, "r", "b", down=False), KEY))
+    return shown(ordered.by_key(ordered.side_correlation(d, KEY, "r", "b"), ordered.side_correlation(d, KEY, "r", "b", down=False), KEY))
 
 
 @query("infer_frequency", f"""{cte()}, g AS (SELECT {K}, epoch(t) - epoch(lag(t) OVER (PARTITION BY {K} ORDER BY t)) AS gap FROM s), x AS (SELECT {K}, median(gap) AS m FROM g GROUP BY {K})
@@ -424,17 +471,33 @@ def marginal_contribution(spark, sf):
     return shown(spark.createDataFrame(rows, "asset string, mcr double, pcr double, portfolio_volatility double"))
 
 
-@query("ledoit_wolf_covariance")
+_PAIRS = [(a, b) for a in ASSETS for b in ASSETS]
+_LW = f"""{_WIDE}, g AS (SELECT count(*) AS rows_, {", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in _PAIRS)}, {", ".join(f"avg({a}) AS m{a}" for a in ASSETS)} FROM w),
+  f AS (SELECT sum(pow({" + ".join(f"({a} - m{a}) * ({a} - m{a})" for a in ASSETS)}, 2)) AS fourth FROM w, g),
+  t AS (SELECT *, ({" + ".join(a + a for a in ASSETS)}) / 3 AS mu FROM g, f),
+  d AS (SELECT *, greatest(0, least(1, (fourth - rows_ * ({" + ".join(f"{a}{b} * {a}{b}" for a, b in _PAIRS)})) / rows_ / rows_
+    / ({" + ".join(f"pow({a}{b} - {'mu' if a == b else '0'}, 2)" for a, b in _PAIRS)}))) AS delta FROM t)"""
+
+
+@query("ledoit_wolf_covariance", f"WITH {_LW} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS asset, '{b}' AS other, round(delta * {'mu' if a == b else '0'} + (1 - delta) * {a}{b}, 8) + 0.0 AS covariance, round(delta, 8) + 0.0 AS shrinkage FROM d" for a, b in _PAIRS))
 def ledoit_wolf(spark, sf):
     x = models.ledoit_wolf_covariance(wide(spark, sf), ASSETS)
     rows = [(a, b, float(x["covariance"][i, j]), x["shrinkage"]) for i, a in enumerate(ASSETS) for j, b in enumerate(ASSETS)]
-    return spark.createDataFrame(rows, "asset string, other string, covariance double, shrinkage double")
+    return shown(spark.createDataFrame(rows, "asset string, other string, covariance double, shrinkage double"))
 
 
-@query("absorption_ratio")
+_EIG = "1 + 2 * sqrt(q / 3) * cos((acos(greatest(-1, least(1, det / pow(q / 3, 1.5)))) - 2 * pi() * {k}) / 3)"  # of a correlation matrix of three
+
+
+@query("absorption_ratio", f"""WITH {_WIDE}, c AS (SELECT corr(A, N) AS a, corr(A, R) AS b, corr(N, R) AS c FROM w),
+  e AS (SELECT a * a + b * b + c * c AS q, a * b * c AS det FROM c),
+  v AS (SELECT list_reverse_sort([{", ".join(_EIG.format(k=k) for k in range(3))}]) AS x FROM e)
+  SELECT round(x[1] / list_sum(x), 8) + 0.0 AS ratio, CAST(1 AS INT) AS components, round(x[1], 8) + 0.0 AS first, round(x[2], 8) + 0.0 AS second, round(x[3], 8) + 0.0 AS third FROM v""")
 def absorption(spark, sf):
     x = models.absorption_ratio(wide(spark, sf), ASSETS)
-    return spark.createDataFrame([(x["ratio"], x["components"], [float(v) for v in x["eigenvalues"]])], "ratio double, components int, eigenvalues array<double>")
+    row = (x["ratio"], x["components"], *(float(v) for v in x["eigenvalues"]))
+    return shown(spark.createDataFrame([row], "ratio double, components int, first double, second double, third double"))
 
 
 @query("entropic_var")
@@ -471,6 +534,20 @@ def metrics_summary(spark, sf):
     return shown(report.full_metrics(series.daily(spark, sf), KEY, shapiro=False).select(*KEY, *report.HEADLINE))
 
 
+_PARTS = (*GROUPS, "drawdown_metrics", "streaks", "smart_ratios", "k_ratio", "cvar", "outlier_ratios", "benchmark_metrics")
+_SIX = ("k_ratio",)  # names that their own queries round to six places
+
+
+@query("report_metrics", "SELECT * EXCLUDE (historical_var, parametric_var, cornish_fisher_var, benchmark_correlation) FROM " + " JOIN ".join(f"({SQL[n]}) AS {n}_" + (f" USING ({K})" if i else "") for i, n in enumerate(_PARTS)))
+def report_metrics(spark, sf):
+    """Every metric of the report that SQL can express, from the report's one pass."""
+    names = [n for g in GROUPS.values() for n in g if n not in ("historical_var", "parametric_var", "cornish_fisher_var")]
+    names += ["max_drawdown", "ulcer_index", "calmar", "ulcer_performance_index", "recovery_factor", "serenity_index", "consecutive_wins", "consecutive_losses"]
+    names += ["autocorr", "smart_sharpe", "smart_sortino", "k_ratio", "cvar", "outlier_win_ratio", "outlier_loss_ratio", "alpha", "beta", "information_ratio", "r_squared", "treynor_ratio"]
+    full = report.full_metrics(series.daily(spark, sf), KEY, b="b", shapiro=False).select(*KEY, *names)
+    return shown(full.withColumns({n: rounded(F.col(n), 6) for n in _SIX}), *_SIX)
+
+
 @query("full_metrics")
 def full_metrics(spark, sf):
     return shown(report.long_form(report.full_metrics(series.daily(spark, sf), KEY, b="b"), KEY))

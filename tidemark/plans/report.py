@@ -1,4 +1,7 @@
-"""Fused metric reports: one pass per kind of aggregate, joined by key, instead of one pass per metric."""
+"""Fused metric reports: one shuffle by key, its windows, and one aggregate over them for all metrics.
+
+Nothing is joined, so null keys stay, the source is read once, and what a caller does not select is not computed.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EmptySeriesError
@@ -27,23 +30,48 @@ SECTIONS = {
 HEADLINE = ("comp", "cagr", "volatility", "sharpe", "sortino", "max_drawdown", "calmar", "win_rate", "profit_factor", "var", "cvar")
 
 
-def full_metrics(df: DataFrame, key: list[str], t: str = "t", r: str = "r", b: str | None = None, *, rf: float | None = None, ppy: int | None = None, confidence: float = 0.95, shapiro: bool = True) -> DataFrame:
-    """A row per key with every metric of SECTIONS as a column (the benchmark's only with b)."""
-    base = {n: f(r) for n, f in m.BASIC.items()} | {
+def full_metrics(
+    df: DataFrame, key: list[str], t: str = "t", r: str = "r", b: str | None = None, *, rf: float | None = None, ppy: int | None = None,
+    confidence: float = 0.95, quantile: float = 0.99, shapiro: bool = True,
+) -> DataFrame:
+    """A row per key, null included, with every metric of SECTIONS as a column (the benchmark's only with b).
+
+    Null returns are dropped first; a key without any other has no row.
+    """
+    c = F.col
+    x = c(r)
+    by, run = Window.partitionBy(*key), o.running(key, t)
+    since = lambda test: c("_n") - F.coalesce(F.max(F.when(~test, c("_n"))).over(run), F.lit(0))
+    d = o.drawdowns(df, key, t, r).withColumn("_n", F.row_number().over(o.w(key, t)))
+    d = d.withColumns(
+        {
+            "_mean": F.avg(x).over(by), "_sd": F.coalesce(F.stddev_samp(x).over(by), F.lit(0.0)), "_sum": F.sum(x).over(run), "_before": F.lag(x).over(o.w(key, t)),
+            "_far_win": F.percentile(F.when(x > 0, x), F.lit(quantile)).over(by), "_far_loss": F.percentile(F.when(x < 0, -x), F.lit(quantile)).over(by),
+            "_wins": since(x > 0), "_losses": since(x < 0),
+        }
+    )
+    aggregates = {n: f(r) for n, f in m.BASIC.items()} | {
         "cagr": m.cagr(r, ppy), "volatility": m.volatility(r, ppy), "var": m.var(r, confidence=confidence), "downside_deviation": m.downside_deviation(r, ppy=ppy),
         "sharpe": m.sharpe(r, rf, ppy), "sortino": m.sortino(r, rf, ppy), "omega": m.omega(r, ppy=ppy), "rar": m.rar(r, ppy), "adjusted_sortino": m.adjusted_sortino(r, rf, ppy),
         "expected_return": m.avg_return(r), "ghpr": m.ghpr(r), "total": m.total(r), "psr_z": m.psr_z(r, ppy=ppy),
     }
     if b:
-        base |= {"alpha": m.alpha(r, b, ppy), "beta": m.beta(r, b), "information_ratio": m.information_ratio(r, b), "r_squared": m.r_squared(r, b), "treynor_ratio": m.treynor_ratio(r, b, rf, ppy)}
-    d = o.clean(df, r)
-    out = d.groupBy(*key).agg(*(c.alias(n) for n, c in base.items()))
-    parts = [o.drawdown_stats(df, key, t, r), o.streaks(df, key, t, r), o.autocorrelation(df, key, t, r), o.k_ratio(df, key, t, r), o.cvar(df, key, r, confidence=confidence), o.outlier_ratios(df, key, r)]
+        aggregates |= {"alpha": m.alpha(r, b, ppy), "beta": m.beta(r, b), "information_ratio": m.information_ratio(r, b), "r_squared": m.r_squared(r, b), "treynor_ratio": m.treynor_ratio(r, b, rf, ppy)}
+    dev, dev_before = x - c("_mean"), c("_before") - c("_mean")
+    cut = c("_mean") + m.z(confidence) * c("_sd")
+    far = lambda v, q: F.coalesce(m.safe_div(F.avg(F.when(v >= c(q), v)), F.avg(v)), F.lit(0.0))
+    longest = lambda n: F.coalesce(F.max(n), F.lit(0)).cast("long")
+    aggregates |= o.drawdown_aggregates() | {
+        "consecutive_wins": longest(c("_wins")), "consecutive_losses": longest(c("_losses")),
+        "autocorr": o.lagged_ratio(dev, dev_before, 1), "k_ratio": o.trend_ratio(c("_sum"), (c("_n") - 1).cast("double")),
+        "cvar": F.coalesce(F.avg(F.when(x <= cut, x)), F.min(x)),
+        "outlier_win_ratio": far(F.when(x > 0, x), "_far_win"), "outlier_loss_ratio": far(F.when(x < 0, -x), "_far_loss"),
+    }
     if shapiro:
-        parts.append(models.shapiro(df, key, t, r))
-    for p in parts:
-        out = out.join(p, key) if key else out.crossJoin(F.broadcast(p))
-    c = F.col
+        aggregates["_first"] = models.first_values(x, c("_n"))
+    out = d.groupBy(*key).agg(*(v.alias(n) for n, v in aggregates.items()))
+    if shapiro:
+        out = out.withColumn("_first", models.royston(c("_first"))).withColumns({"shapiro_w": c("_first.w"), "shapiro_p": c("_first.p")}).drop("_first")
     f = m.get_config().risk_free_rate if rf is None else rf
     penalty = o.smart_penalty(c("autocorr"))
     return out.withColumns(
@@ -109,7 +137,7 @@ def shown(name: str, v) -> str:
     return f"{v:.2%}" if any(p in name for p in PERCENT) and "ratio" not in name else f"{v:.4f}"
 
 
-def html_report(rep: MetricsReport, title: str = "Strategy Performance Report") -> str:
+def html_report(rep: MetricsReport, title: str = "Metrics of a return series") -> str:
     flat = {n: v for x in rep.sections.values() for n, v in x.items()}
     heads = [k for k in (*HTML_KEYS, "alpha") if k in flat]
     label = lambda n: html.escape(n.replace("_", " "))
@@ -122,7 +150,7 @@ def html_report(rep: MetricsReport, title: str = "Strategy Performance Report")
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1><div class='heads'>{top}</div><main>{cards}</main></body></html>"
 
 
-def save_html_report(rep: MetricsReport, path, title: str = "Strategy Performance Report"):
+def save_html_report(rep: MetricsReport, path, title: str = "Metrics of a return series"):
     from pathlib import Path
 
     out = Path(path)
