@@ -167,6 +167,22 @@ def test_exact_dedup(spark, odd, docs, weak):
         assert len(kept) == len(groups)
 
 
+def test_runs_are_looked_up_by_their_filters(spark):
+    """Of 20,000 digests that are alone nearly all stay in their runs; of the others every entry goes on, whatever the runs."""
+    rows = [(i, f"text {i}") for i in range(20_000)] + [(50_000 + i, f"text {i % 300}") for i in range(900)] + [(90_000 + i, "hot") for i in range(5000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    e = d.select(F.col("doc_id").alias("row"), dedup.sha256(F.col("text")).alias("dd_digest"), (F.col("doc_id") % 7).cast("int").alias("dd_run"))
+    level0 = e.groupBy("dd_digest", "dd_run").agg(F.min("row").alias("first"), F.count("*").alias("n")).cache()
+    on = dedup.not_alone(level0)
+    got = {r.dd_digest: (r.first, r.n) for r in on.groupBy("dd_digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).collect()}
+    want = {r.dd_digest: (r.first, r.n) for r in level0.groupBy("dd_digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").collect()}
+    assert all(bytes(k) in {bytes(x) for x in got} for k in want)
+    assert {bytes(k): v for k, v in got.items() if v[1] > 1} == {bytes(k): v for k, v in want.items()}
+    assert len(got) < len(want) + 0.3 * 20_000
+    same = [rows_of(dedup.exact_dedup(d, runs=k), "dd_id", "dd_keep", "dd_size", "dd_kept") for k in (1, 5, 64)]
+    assert Counter(same[0]) == Counter(same[1]) == Counter(same[2])
+
+
 def test_tokens_are_those_of_the_tokenizers_library():
     import public_tokenizers
     from tokenizers import Tokenizer

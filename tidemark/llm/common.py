@@ -57,7 +57,7 @@ def salt_of(*cols: Column, runs: int) -> Column:
 MAX_WORDS = 1 << 20  # 64 Mbit; as a broadcast relation at most about 40 MB
 
 
-def _mask(h: Column) -> Column:
+def bloom_mask(h: Column) -> Column:
     one = F.lit(1).cast("long")
 
     def bit(shift: int) -> Column:  # shiftleft with a column needs SQL's function
@@ -66,14 +66,22 @@ def _mask(h: Column) -> Column:
     return bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
 
 
-def bloom(df: DataFrame, key: Column, count: int) -> tuple[DataFrame, int]:
-    """(filter of at most MAX_WORDS rows `bf_word, bf_bits`, number of words) for about `count` keys."""
+def bloom_words(count: int) -> int:
     words = 1 << 8
     while words * 6 < count and words < MAX_WORDS:
         words *= 2
-    h = F.xxhash64(F.lit(31), key)
+    return words
+
+
+def bloom_hash(key: Column) -> Column:
+    return F.xxhash64(F.lit(31), key)
+
+
+def bloom(df: DataFrame, key: Column, count: int) -> tuple[DataFrame, int]:
+    """(filter of at most MAX_WORDS rows `bf_word, bf_bits`, number of words) for about `count` keys."""
+    words, h = bloom_words(count), bloom_hash(key)
     return (
-        df.select(F.pmod(h, F.lit(words)).alias("bf_word"), _mask(h).alias("bits"))
+        df.select(F.pmod(h, F.lit(words)).alias("bf_word"), bloom_mask(h).alias("bits"))
         .groupBy("bf_word")
         .agg(F.bit_or("bits").alias("bf_bits")),
         words,
@@ -83,11 +91,11 @@ def bloom(df: DataFrame, key: Column, count: int) -> tuple[DataFrame, int]:
 def bloom_keep(df: DataFrame, key: str, filt: tuple[DataFrame, int]) -> DataFrame:
     """Rows of df whose key may be in the filter (no false negatives). The filter has a fixed size bound."""
     table, words = filt
-    h = F.xxhash64(F.lit(31), F.col(key))
+    h = bloom_hash(F.col(key))
     cols = df.columns
     hit = df.withColumns({"bf_h": h}).withColumn("bf_word", F.pmod("bf_h", F.lit(words)))
     hit = hit.join(F.broadcast(table), "bf_word")
-    return hit.where(F.col("bf_bits").bitwiseAND(_mask(F.col("bf_h"))) == _mask(F.col("bf_h"))).select(*cols)
+    return hit.where(F.col("bf_bits").bitwiseAND(bloom_mask(F.col("bf_h"))) == bloom_mask(F.col("bf_h"))).select(*cols)
 
 
 def keyed_min(rows: DataFrame, key: str, order: list[str], runs: int = 64) -> DataFrame:
