@@ -199,6 +199,26 @@ def test_tokens_are_those_of_the_tokenizers_library():
     assert tokens.ids("x <|endoftext|> y") == [87, 220, 50256, 331]
 
 
+def test_op3_and_op8_queries(spark, tiny):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    enc = Tokenizer.from_file(pack.tokenizer_path())
+    want = {}
+    texts = {r.doc_id: r for r in documents(spark, tiny).collect()}
+    for i, r in texts.items():
+        ids = np.array([*enc.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        for p, (start, n) in enumerate(pack.cut(len(ids))):
+            want[i, p] = (start, n, zlib.crc32(ids[start : start + n].tobytes()))
+    rows = pack.op3_pack(spark, tiny).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    told = langid.op8_langid(spark, tiny).collect()
+    assert {r.doc_id for r in told} == set(texts)
+    for r in told:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id].text or ""))
+
+
 def test_pack_in_several_deals(spark, monkeypatch):
     """Ranks go on over the groups that a length is dealt into."""
     monkeypatch.setattr(pack, "DEAL", 50)
@@ -730,6 +750,20 @@ def test_near_dups(spark, odd, docs):
     assert Counter(rows_of(neardup.near_dups(family, size=5, least=80), "nd_id", "nd_n", "nd_component")) == want
 
 
+def test_near_dups_of_long_texts_and_odd_columns(spark):
+    """Texts of a million characters, one of them edited; other columns may have the operator's own names."""
+    import random
+
+    r = random.Random(3)
+    w = [f"w{r.randrange(9000)}" for _ in range(180_000)]
+    near = list(w)
+    for i in range(0, 180_000, 2000):
+        near[i] = "changed"
+    rows = [(1, " ".join(w), 5, "x", "k"), (2, " ".join(near), 6, "y", "k"), (3, " ".join(w[:90_000]), 7, "z", "k"), (4, None, 8, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, nd_row long, nd_sig string, key string")
+    assert Counter(rows_of(neardup.near_dups(d), "nd_id", "nd_n", "nd_component")) == near_by_force([x[:2] for x in rows])
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in neardup.components(e).collect()} == {(i, 0) for i in range(201)}

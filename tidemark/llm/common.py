@@ -48,7 +48,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def salt_of(*cols: Column, runs: int) -> Column:
+def salt_of(*cols: Column, runs: int | Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(7919), *cols), F.lit(runs)).cast("int")
 
 

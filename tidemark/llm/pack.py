@@ -23,7 +23,8 @@ from .common import documents, salt_of, saved
 
 CAPACITY = 1024
 END_ID = 2
-DEAL = 200_000  # pieces of one length that are ranked in one group, about
+DEAL = 1000  # pieces of one length that are ranked in one group, about, or more where that makes
+DEALS = 100_000  # groups or more: the driver gets a number from each
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -209,10 +210,11 @@ def pack(
     own = (-1 - F.monotonically_increasing_id()).alias("sequence_id")
     full = pieces.where(F.col("length") == capacity).select(*names, own, F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
-    largest = rest.groupBy("length").count().agg(F.max("count")).first()[0] or 0
-    deals = -(-largest // DEAL) or 1
-    rest = rest.withColumn("deal", salt_of(F.col("pk_id"), F.col("piece"), F.col("ids_crc32"), runs=deals))
-    counts = rest.groupBy("length", "deal").count().collect()  # at most capacity * deals rows
+    by_length = dict(map(tuple, rest.groupBy("length").count().collect()))
+    deal = max(DEAL, -(-sum(by_length.values()) // DEALS))
+    deals = F.lit([-(-by_length.get(n, 0) // deal) or 1 for n in range(1, capacity + 1)])
+    rest = rest.withColumn("deal", salt_of(F.col("pk_id"), F.col("piece"), F.col("ids_crc32"), runs=F.element_at(deals, F.col("length").cast("int"))))
+    counts = rest.groupBy("length", "deal").count().collect()  # at most capacity + DEALS rows
     total: Counter = Counter()
     before: dict[tuple[int, int], int] = {}
     for length, deal, n in sorted(map(tuple, counts)):

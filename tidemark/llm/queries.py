@@ -5,7 +5,7 @@ from .dedup import OP2_SQL, op2_exact_dedup
 from .langid import op8_langid
 from .licenses import op7_licenses
 from .mix import op1_mix
-from .neardup import op10_near_dups
+from .neardup import OP10_SQL, op10_near_dups
 from .pack import op3_pack
 from .pii import op5_pii
 from .topk import OP9_SQL, op9_top_k
@@ -18,4 +18,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op2_exact_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op9_top_k": OP9_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op9_top_k": OP9_SQL, "op10_near_dups": OP10_SQL}
