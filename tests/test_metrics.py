@@ -123,6 +123,35 @@ def test_a_benchmark_with_rows_of_its_own(spark):
     assert [x.k for x in api.of(d, ["k"]).with_benchmark(keyed).greeks().collect()] == [None]
 
 
+def test_a_single_trade(spark):
+    from datetime import datetime
+
+    f = trades.calculate_single_trade_return
+    assert f(100.0, 105.0) == pytest.approx(0.05) and f(100.0, 95.0, direction="short") == pytest.approx(0.05)
+    assert f(100.0, 105.0, fees=2.0, quantity=-2.0) == pytest.approx(0.04) and f(100.0, 110.0, method="log", direction="short") == pytest.approx(-math.log(1.1))
+    for bad in ((0.0, 1.0), (1.0, -1.0), (float("nan"), 1.0)):
+        with pytest.raises(ValueError):
+            f(*bad)
+    t = trades.Trade(datetime(2024, 1, 1), 100.0, datetime(2024, 1, 3), 105.0, quantity=2.0, fees=1.0)
+    assert t.is_closed and t.status == "closed" and trades.Trade(datetime(2024, 1, 1), 100.0).single_return() is None
+    rows = spark.createDataFrame([(t.entry_time, t.entry_price, t.exit_time, t.exit_price, t.quantity, t.fees)], "entry_time timestamp, entry_price double, exit_time timestamp, exit_price double, quantity double, fees double")
+    assert trades.trade_returns(rows).first().trade_return == pytest.approx(t.single_return())
+
+
+def test_arch_effect_by_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = [0.0]
+    for e in rng.normal(size=400):
+        x.append(e * math.sqrt(0.2 + 0.6 * x[-1] ** 2))
+    lags = 3
+    e = (np.array(x) - np.mean(x)) ** 2
+    y, z = e[lags:], np.column_stack([np.ones(len(e) - lags), *(e[lags - j : len(e) - j] for j in range(1, lags + 1))])
+    left = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
+    want = len(y) * (1 - (left**2).sum() / ((y - y.mean()) ** 2).sum())
+    r = models.arch_effect_test(table(spark, a=x), ["k"], lags=lags).first()
+    assert r.arch_stat == pytest.approx(want, rel=1e-6) and r.arch_p == pytest.approx(models.chi2_sf(want, lags)) and r.arch_effect
+
+
 def test_drawdown_episodes_with_dates(spark):
     import datetime
 

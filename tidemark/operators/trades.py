@@ -6,7 +6,9 @@ per symbol times the last price, found by carrying prices forward over the calen
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,45 @@ UNITS = {"D": "day", "W": "week", "M": "month"}
 DEFAULTS = {"quantity": 1.0, "direction": "long", "fees": 0.0}
 
 
+@dataclass(frozen=True)
+class Trade:
+    """One round trip; without an exit it is open."""
+
+    entry_time: datetime
+    entry_price: float
+    exit_time: datetime | None = None
+    exit_price: float | None = None
+    quantity: float = 1.0
+    direction: str = "long"
+    symbol: str | None = None
+    fees: float = 0.0
+    trade_id: str | None = None
+
+    @property
+    def is_closed(self) -> bool:
+        return self.exit_time is not None and self.exit_price is not None
+
+    @property
+    def status(self) -> str:
+        return "closed" if self.is_closed else "open"
+
+    def single_return(self, method: str = "simple") -> float | None:
+        """calculate_single_trade_return of a closed trade, None for an open one."""
+        if not self.is_closed:
+            return None
+        return calculate_single_trade_return(self.entry_price, self.exit_price, direction=self.direction, fees=self.fees, quantity=self.quantity, method=method)
+
+
+def calculate_single_trade_return(entry_price: float, exit_price: float, *, direction: str = "long", fees: float = 0.0, quantity: float = 1.0, method: str = "simple") -> float:
+    """trade_return() for plain numbers; ValueError on prices that are not positive."""
+    for name, price in (("entry_price", entry_price), ("exit_price", exit_price)):
+        if not price > 0:
+            raise ValueError(f"{name} has to be above 0")
+    gross = math.log(exit_price / entry_price) if method == "log" else exit_price / entry_price - 1
+    cost = fees / (entry_price * abs(quantity)) if fees > 0 and quantity else 0.0
+    return (gross if direction == "long" else -gross) - cost
+
+
 @dataclass
 class TradeResult:
     returns: DataFrame
@@ -34,7 +75,8 @@ def apply_column_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(out | more)
 
 
-def validate_trade_dataframe(df: DataFrame, *, require_exit: bool = False) -> None:
+def validate_trade_dataframe(df: DataFrame, *, require_exit: bool = False, times: bool = False) -> None:
+    """Raises on missing columns, no rows, bad prices and directions and, with `times`, as validate_trade_times(); one pass over the rows."""
     need = ["entry_time", "entry_price"] + (["exit_time", "exit_price"] if require_exit else [])
     missing = [c for c in need if c not in df.columns]
     if missing:
@@ -43,13 +85,16 @@ def validate_trade_dataframe(df: DataFrame, *, require_exit: bool = False) -> No
     if "exit_price" in df.columns:
         bad_price = bad_price | F.coalesce(F.col("exit_price") <= 0, F.lit(False))
     bad_side = ~F.col("direction").isin("long", "short") if "direction" in df.columns else F.lit(False)
-    n, prices, sides = df.agg(F.count("*"), F.count_if(bad_price), F.count_if(bad_side)).first()
+    bad_times = F.col("exit_time") <= F.col("entry_time") if times and "exit_time" in df.columns else F.lit(False)
+    n, prices, sides, late = df.agg(F.count("*"), F.count_if(bad_price), F.count_if(bad_side), F.count_if(bad_times)).first()
     if not n:
         raise EmptySeriesError("no trades")
     if prices:
         raise InvalidPriceError(f"{prices} prices are missing or not positive")
     if sides:
         raise InvalidDirectionError(f"{sides} directions are neither long nor short")
+    if late:
+        raise InvalidTradeTimesError(f"{late} trades end before they begin")
 
 
 def validate_prices_dataframe(df: DataFrame, *, require_symbol: bool = False) -> None:
@@ -165,9 +210,7 @@ def build_equity_curve_no_mtm(trades: DataFrame, initial_capital: float) -> Data
 
 def trades_to_returns(trades: DataFrame, *, prices: DataFrame | None = None, aggregation: str = "trade", initial_capital: float | None = None, method: str = "simple", include_fees: bool = True, fill_gaps: bool = True, trades_per_year: int | None = None) -> TradeResult:
     """aggregation: trade, equity, D, W or M. returns has (date, returns), and a row's trade columns in mode trade."""
-    validate_trade_dataframe(trades, require_exit=aggregation != "equity")
-    if "exit_time" in trades.columns:
-        validate_trade_times(trades)
+    validate_trade_dataframe(trades, require_exit=aggregation != "equity", times=True)
     validate_initial_capital(initial_capital, aggregation)
     if prices is not None:
         validate_prices_dataframe(prices)
@@ -185,6 +228,8 @@ def trades_to_returns(trades: DataFrame, *, prices: DataFrame | None = None, agg
     if aggregation == "equity" or (aggregation in UNITS and initial_capital):
         curve = build_equity_curve(d, initial_capital, prices).select("date", F.col("daily_return").alias("returns"))
         notes = [] if prices is not None else ["no prices: open positions count at cost"]
+        if method == "log":
+            notes.append("method log holds for single trades; returns of the daily NAV are simple")
         if aggregation == "equity":
             return TradeResult(curve, 252, summary, notes)
         bucket = F.trunc("date", UNITS[aggregation]) if aggregation != "D" else F.col("date")
