@@ -750,6 +750,25 @@ def test_near_dups(spark, odd, docs):
     assert Counter(rows_of(neardup.near_dups(family, size=5, least=80), "nd_id", "nd_n", "nd_component")) == want
 
 
+def test_near_dups_of_a_key_of_many_blocks(spark, monkeypatch):
+    """Blocks of 8: families of near copies, and texts that share a passage, spread over the blocks of hot keys."""
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    shared = [r.choice(words) for _ in range(90)]
+    rows = []
+    for i in range(120):  # alike in nine tenths: some pairs linked, some not
+        rows.append((i, " ".join(shared + [r.choice(words) for _ in range(r.choice([6, 9, 12]))])))
+    for i in range(80):
+        copy = list(shared[::-1])
+        copy[r.randrange(90)] = r.choice(words)
+        rows.append((200 + i, " ".join(copy)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(rows_of(neardup.near_dups(d), "nd_id", "nd_n", "nd_component")) == near_by_force(rows)
+
+
 def test_near_dups_of_long_texts_and_odd_columns(spark):
     """Texts of a million characters, one of them edited; other columns may have the operator's own names."""
     import random

@@ -6,9 +6,10 @@
    symbol of each chunk in turn meet for every such pair. Pairs that meet are held to a second,
    longer signature, which tells documents that share a passage from near copies.
 3. A key's members are compared in blocks, in numpy, a pair under one of its keys only. First each
-   class gives its nearest, so that groups of near copies join in linear work. Then the members
-   that still have a candidate in another component meet again with their full sets, and every such
-   pair is tested unless it is linked by then; what leaves a block is links, not candidates.
+   class gives its nearest within its block and the key's first member, so that groups of near copies
+   join in linear work. Keys whose members all lie in one component are done. Of the others, every two
+   blocks meet: members that have a candidate in another component come with their full sets, and every
+   such pair is tested unless it is linked by then; what leaves a block is links, not candidates.
 4. Links are joined into components by alternating stars, on the executors.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_keep, documents, keyed_min, parts, saved
+from .common import bloom, bloom_keep, documents, keyed_min, parts, salt_of, saved
 
 K = 32  # symbols of 16 bits that the index is built on
 WIDE = 192  # further symbols of 8 bits, for the same test with less spread
@@ -371,40 +372,62 @@ def near_dups(
     def grouped(m: DataFrame) -> DataFrame:
         return m.repartition(parts(docs), *GROUP).sortWithinPartitions(*GROUP)
 
-    def members(comp: DataFrame | None) -> DataFrame:
-        m = held.withColumn("comp", F.col("nd_row"))
-        if comp is not None:
-            m = held.join(comp, held.nd_row == comp.node, "left").withColumn("comp", F.coalesce("comp", "nd_row")).drop("node")
+    cols = ["key", "i", "j", "slot", "block", "nd_row", "nd_n", "comp", "nd_sig"]
+
+    def inside(m: DataFrame) -> DataFrame:
+        """Each member once, in its block; a key's first member in all its blocks."""
+        once = m.select("key", F.col("block").alias("i"), F.col("block").alias("j"), "slot", "block", "nd_row", "nd_n", F.col("nd_row").alias("comp"), "nd_sig")
+        hot = m.where("blocks > 1")
+        if hot.isEmpty():
+            return grouped(once)
+        own = ["slot", "block", "nd_row", "nd_n", "nd_sig", "blocks"]
+        first = hot.groupBy("key", "block").agg(F.min_by(F.struct(*own), "nd_row").alias("f")).groupBy("key").agg(F.min_by("f", "f.nd_row").alias("f"))
+        each = first.select("key", "f.*", F.explode(F.sequence(F.lit(0), F.col("f.blocks") - 1)).alias("i")).where("i <> block")
+        return grouped(once.unionByName(each.select("key", "i", F.col("i").alias("j"), "slot", "block", "nd_row", "nd_n", F.col("nd_row").alias("comp"), "nd_sig")))
+
+    def across(comp: DataFrame) -> DataFrame:
+        """Every two blocks of the keys that still have members in several components."""
+        named = lambda m: m.join(comp, m.nd_row == comp.node, "left").withColumn("comp", F.coalesce("comp", "nd_row")).drop("node")
+        several = named(held.select("key", "nd_row", "blocks")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("blocks").alias("blocks"))
+        several = several.where("lo <> hi").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        m = named(held.join(several, ["key", "block"], "left_semi"))
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
         return grouped(m.select("key", *pair, "slot", "block", "nd_row", "nd_n", "comp", "nd_sig"))
 
-    # First each class's nearest: in linear work, most near copies are in a component already.
-    near = members(None).mapInArrow(_nearest(scheme), "a long, b long, d int")
+    def sets_of(used: DataFrame) -> DataFrame:
+        """(nd_row, nd_set) of the classes in `used` (nd_row, nd_id, nd_digest), from a second scan of the texts."""
+        some = bloom_keep(texts, "nd_id", bloom(used, F.col("nd_id"), used.count())) if used.where("nd_id is null").isEmpty() else texts
+        sets = _sets(some, kind, size).join(used.select("nd_row", "nd_digest"), "nd_digest")
+        return saved(sets.dropDuplicates(["nd_row"]).select("nd_row", "nd_set"))
+
+    of_class = reps.select("nd_row", "nd_id", "nd_digest")
+    near = inside(held).mapInArrow(_nearest(scheme), "a long, b long, d int")
     ends = near.select(F.col("a").alias("who"), "a", "b", "d").union(near.select(F.col("b").alias("who"), "a", "b", "d"))
     best = ends.groupBy("who").agg(F.min(F.struct("d", "a", "b")).alias("p"))
     pairs = saved(best.select("who", "p.a", "p.b"))
-    # Any class with a candidate is in there, so these are all the sets ever needed.
-    used = saved(pairs.select(F.col("who").alias("nd_row")).join(reps.select("nd_row", "nd_id", "nd_digest"), "nd_row"))
-    some = bloom_keep(texts, "nd_id", bloom(used, F.col("nd_id"), used.count())) if used.where("nd_id is null").isEmpty() else texts
-    sets = _sets(some, kind, size).join(used.select("nd_row", "nd_digest"), "nd_digest")
-    sets = saved(sets.dropDuplicates(["nd_row"]).select("nd_row", "nd_set"))
+    sets = sets_of(saved(pairs.select(F.col("who").alias("nd_row")).join(of_class, "nd_row")))
     a, b = (sets.select(F.col("nd_row").alias(x), F.col("nd_set").alias(f"{x}_set")) for x in "ab")
     inter = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - F.col("inter")
     near = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").withColumn("inter", inter)
-    near = near.where(of * F.col("inter") >= least * union).select("a", "b")
-    near = saved(near)
-    comp = near_labels(near)
+    near = saved(near.where(of * F.col("inter") >= least * union).select("a", "b"))
     # Then every pair that still lies in two components, confirmed where its group is.
-    left = members(comp).mapInArrow(_taking_part(scheme), members(comp).schema)
+    met = across(near_labels(near))
+    left = saved(met.mapInArrow(_taking_part(scheme), met.select(*cols).schema))
+    new = saved(left.select("nd_row").distinct().join(sets.select("nd_row"), "nd_row", "left_anti").join(of_class, "nd_row"))
+    if not new.isEmpty():
+        sets = sets.union(sets_of(new))
     links = grouped(left.join(sets, "nd_row")).mapInArrow(_confirmed(scheme), "a long, b long")
     comp = saved(components(near.union(links)))
 
     named = comp.join(reps, comp.node == reps.nd_row).select("node", "comp", "nd_id", F.col("nd_id").isNull().alias("nd_none"))
     low = named.groupBy("comp").agg(F.min(F.struct("nd_none", "nd_id")).alias("low"))
     label = saved(named.join(low, "comp").select(F.col("node").alias("rep"), F.col("low.nd_id").alias("label")))
-    full = member.join(label, "rep", "left").select(
+    # a class may hold any share of the rows: its label reaches them in several runs
+    member = member.withColumn("run", salt_of(F.col("nd_row"), runs=64))
+    answer = member.select("rep", "run").distinct().join(label, "rep")
+    full = member.join(answer, ["rep", "run"], "left").select(
         "nd_id", "nd_n", F.coalesce("label", "rep_id").alias("nd_component"), F.col("nd_row")
     )
     empty = rows.where("nd_n = 0").select("nd_id", "nd_n", F.col("nd_id").alias("nd_component"), "nd_row")
