@@ -386,11 +386,15 @@ def near_dups(
         return grouped(once.unionByName(each.select("key", "i", F.col("i").alias("j"), "slot", "block", "nd_row", "nd_n", F.col("nd_row").alias("comp"), "nd_sig")))
 
     def across(comp: DataFrame) -> DataFrame:
-        """Every two blocks of the keys that still have members in several components."""
-        named = lambda m: m.join(comp, m.nd_row == comp.node, "left").withColumn("comp", F.coalesce("comp", "nd_row")).drop("node")
-        several = named(held.select("key", "nd_row", "blocks")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("blocks").alias("blocks"))
+        """Every two blocks of the keys that still have members in several components.
+
+        The signatures, most of a row, join only those that are left.
+        """
+        m = held.drop("nd_sig", "nd_n").join(comp, held.nd_row == comp.node, "left").withColumn("comp", F.coalesce("comp", "nd_row")).drop("node")
+        m = saved(m)
+        several = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("blocks").alias("blocks"))
         several = several.where("lo <> hi").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        m = named(held.join(several, ["key", "block"], "left_semi"))
+        m = m.join(several, ["key", "block"], "left_semi").join(reps.select("nd_row", "nd_n", "nd_sig"), "nd_row")
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
         return grouped(m.select("key", *pair, "slot", "block", "nd_row", "nd_n", "comp", "nd_sig"))
