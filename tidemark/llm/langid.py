@@ -32,7 +32,7 @@ _LETTERS: np.ndarray | None = None
 def letters() -> np.ndarray:
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = np.array([chr(i).isalpha() for i in range(0x110000)])
+        _LETTERS = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
     return _LETTERS
 
 

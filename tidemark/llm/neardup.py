@@ -64,7 +64,7 @@ class WordHashes(dict):
     """bytes -> 64-bit hash, remembered for the most recent words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
