@@ -269,6 +269,7 @@ def test_report_and_html(spark, tmp_path):
     assert set(rep.to_dict()) == set(report.SECTIONS) and rep.to_dict()["benchmark"]["beta"] == pytest.approx(1.25)
     assert '"sharpe"' in rep.to_json() and rep.to_df(spark).count() == sum(map(len, report.SECTIONS.values()))
     page = report.save_html_report(rep, tmp_path / "r.html", title="<x>").read_text()
+    assert f"{rep.points:,} values" in page and 'class="up"' in page and 'class="down"' in page
     assert "&lt;x&gt;" in page and "sharpe" in page
     assert report.shown("sortino", math.inf) == "∞" and report.shown("omega", math.nan) == "N/A"
 
@@ -288,6 +289,63 @@ def test_streaming_matches_batch(spark, sf, tmp_path):
     assert all(live[k].volatility == pytest.approx(batch[k].volatility) for k in batch)
 
 
+def test_live_status_matches_batch(spark, tmp_path):
+    from tidemark.streaming.live import live_status, run_lengths
+
+    assert run_lengths(np.array([True, True, False, True]), 3).tolist() == [4, 5, 0, 1]
+    rng = np.random.default_rng(5)
+    rows = [(k, 60 * i, float(v)) for k in ("a", None) for i, v in enumerate(rng.normal(0.001, 0.02, 90))]
+    schema = "k string, s int, r double"
+    timed = lambda d: d.select("k", F.timestamp_seconds("s").alias("ts"), "r")
+    given = [[x for x in rows if x[1] < 1800], [x for x in rows if x[1] >= 1800], [rows[3], ("a", None, 0.5), ("a", 9000, None)]]
+    live = []
+    for i, batch in enumerate(given):  # one micro-batch each, the state is taken up from the checkpoint
+        spark.createDataFrame(batch[::-1], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = timed(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+        found = live_status(stream, ["k"], long_run_variance=0.0004)
+        name = f"status{i}"
+        q = found.writeStream.foreachBatch(lambda d, _: live.append({r.k: r for r in d.collect()})).queryName(name)
+        q = q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    live = [x for x in live if x]
+    d = timed(spark.createDataFrame(rows, schema))
+    down = {r.k: r.max_drawdown for r in ordered.drawdown_stats(d, ["k"], "ts", "r").collect()}
+    runs = {r.k: (r.consecutive_wins, r.consecutive_losses) for r in ordered.streaks(d, ["k"], "ts", "r").collect()}
+    for k in ("a", None):
+        x = [r for name, _, r in rows if name == k]
+        s = 0.0004
+        for v in x:
+            s = 0.0004 * 0.05 + 0.10 * v * v + 0.85 * s
+        r = live[1][k]
+        assert (r.n, r.late) == (90, 0) and r.max_drawdown == pytest.approx(down[k]) and (r.consecutive_wins, r.consecutive_losses) == runs[k]
+        assert r.wealth == pytest.approx(np.prod(1 + np.array(x))) and r.garch_vol == pytest.approx(math.sqrt(s))
+    assert live[2]["a"].late == 1 and live[2]["a"][2:-1] == live[1]["a"][2:-1]
+
+
+def test_least_values_and_configuration(spark):
+    d = table(spark, short=[0.01, -0.02] * 4, long=[0.01, -0.02] * 12)
+    by = lambda f, c: {r.k: r[c] for r in f.collect()}
+    e = by(models.entropic_var(d, ["k"]), "entropic_var")
+    assert e["short"] is None and e["long"] > 0
+    vol = {r.k: r.garch_vol for r in models.garch_volatility(d, ["k"]).where("t = 5").collect()}
+    assert vol["short"] is None and vol["long"] > 0
+    arch = by(models.arch_effect_test(d, ["k"], lags=7), "arch_stat")
+    assert arch["short"] is None and arch["long"] is not None
+    with pytest.raises(ValueError):
+        models.garch_volatility(d, ["k"], p=2)
+    with pytest.raises(ValueError):
+        models.entropic_var(d, ["k"], confidence=1.5)
+    # means that overflow or vanish rule their z out
+    wild = models.entropic_var(table(spark, a=[100.0, -50.0] * 10), ["k"]).first().entropic_var
+    assert 50 <= wild < math.inf
+    td.set_config(td.MetricsConfig(var_confidence=0.99))
+    try:
+        got = d.groupBy("k").agg(m.var("r").alias("v"))
+    finally:
+        td.reset_config()
+    assert by(got, "v") == by(d.groupBy("k").agg(m.var("r", confidence=0.99).alias("v")), "v")
+
+
 def test_every_metric_by_name(spark):
     from tidemark.plans import api
 

@@ -115,11 +115,15 @@ def volatility(r, ppy=None, annualize: bool = True) -> Column:
     return std(r, get_config().ddof) * (math.sqrt(annual(ppy)) if annualize else 1.0)
 
 
-def z(confidence: float) -> float:
-    return NormalDist().inv_cdf(1 - confidence)
+def confidence(given: float | None) -> float:
+    return get_config().var_confidence if given is None else given
 
 
-def var(r, sigma: float = 1.0, confidence: float = 0.95) -> Column:
+def z(given: float | None) -> float:
+    return NormalDist().inv_cdf(1 - confidence(given))
+
+
+def var(r, sigma: float = 1.0, confidence: float | None = None) -> Column:
     return F.avg(col(r)) + z(confidence) * sigma * std(r)
 
 
@@ -326,7 +330,7 @@ def minimum_track_record_length(r, target: float = 0.0, confidence: float = 0.95
     return F.when(std(r) == 0, n(r).cast("double")).when(sr <= target, INF).otherwise(need)
 
 
-def cornish_fisher_var(r, confidence: float = 0.95) -> Column:
+def cornish_fisher_var(r, confidence: float | None = None) -> Column:
     q = z(confidence)
     g, k = skewness(r), kurtosis(r)
     cf = q + (q * q - 1) * g / 6 + (q**3 - 3 * q) * k / 24 - (2 * q**3 - 5 * q) * g * g / 36
@@ -340,7 +344,7 @@ def historical_var(r, confidence: float = 0.95) -> Column:
     return -quantile(r, round(1 - confidence, 12))
 
 
-def parametric_var(r, confidence: float = 0.95) -> Column:
+def parametric_var(r, confidence: float | None = None) -> Column:
     return F.when(std(r) == 0, 0.0).otherwise(-(F.avg(col(r)) + z(confidence) * std(r)))
 
 

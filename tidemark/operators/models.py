@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions import metrics as m
 from .ordered import by_key, clean
+from .validation import validate_probability
 
 
 def chi2_sf(x: float, k: int) -> float:
@@ -98,24 +100,40 @@ def shapiro(df: DataFrame, key: list[str], t: str = "t", r: str = "r") -> DataFr
     return d.select(*key, F.col("_first.w").alias("shapiro_w"), F.col("_first.p").alias("shapiro_p"))
 
 
-def entropic_var(df: DataFrame, key: list[str], r: str = "r", *, confidence: float = 0.95, low: float = 0.01, high: float = 100.0, steps: int = 45) -> DataFrame:
-    """Least over z of ln(E[exp(-z r)] / (1 - c)) / z, by ternary search on z in (low, high); aggregates only.
+LEAST = {"entropic_var": 10, "garch_volatility": 20}  # values that a key needs; below, its result is null
 
-    Each round evaluates a grid of z in one pass over the rows and narrows to the cells around the best.
+
+def entropic_var(df: DataFrame, key: list[str], r: str = "r", *, confidence: float | None = None, low: float = 0.01, high: float = 100.0, steps: int = 64) -> DataFrame:
+    """Least over z in (low, high) of ln(E[exp(-z r)] / (1 - c)) / z; null below LEAST values.
+
+    The rows are read twice, and only aggregates leave them. The function falls up to its least value and
+    rises after it, so that lies in the cells around the best of `steps` values of z that grow by a constant
+    factor; `steps` more are laid through these cells, and a parabola through the best and its neighbours ends it.
     """
-    d = clean(df, r).select(*key, r)
-    span = d.groupBy(*key).agg(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    grid = 32
-    for _ in range(4):
-        zs = [F.col("lo") + (F.col("hi") - F.col("lo")) * i / grid for i in range(grid + 1)]
-        j = by_key(d, span, key)
-        s = j.groupBy(*key, "lo", "hi").agg(*(F.avg(F.exp(-q * F.col(r))).alias(f"m{i}") for i, q in enumerate(zs)))
-        each = F.array(*(F.struct((F.log(F.col(f"m{i}") / (1 - confidence)) / q).alias("v"), q.alias("z")) for i, q in enumerate(zs)))
-        step = (F.col("hi") - F.col("lo")) / grid
-        best = s.withColumn("b", F.array_min(each))
-        span = best.select(*key, F.greatest(F.col("lo"), F.col("b.z") - step).alias("lo"), F.least(F.col("hi"), F.col("b.z") + step).alias("hi"), F.col("b.v").alias("entropic_var"))
-        out, span = span.select(*key, "entropic_var"), span.drop("entropic_var")
-    return out
+    c = m.confidence(confidence)
+    validate_probability(c, "confidence")
+    d = clean(df, r).select(*key, F.col(r).alias("_r"))
+
+    def laid(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        """Each key's n, lo, step, the values v at lo + step * i, and the place `at` of the least one from 1."""
+        rows = rows.withColumns({"lo": lo, "step": (hi - lo) / steps}).select(*key, "_r", "lo", "step", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
+        z = F.exp(F.col("lo") + F.col("step") * F.col("i"))
+        each = rows.groupBy(*key, "lo", "step", "i").agg(F.count("*").alias("n"), F.avg(F.exp(-z * F.col("_r"))).alias("mean"))
+        # a mean that is not a number above zero rules its z out
+        value = F.coalesce(F.when(F.col("mean") > 0, F.log(F.col("mean") / (1 - c)) / z), F.lit(m.INF))
+        v = F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda x: x["v"])
+        out = each.groupBy(*key, "lo", "step").agg(F.max("n").alias("n"), v.alias("v"))
+        return out.withColumn("at", F.array_position("v", F.array_min("v")).cast("int"))
+
+    lo, hi = math.log(low), math.log(high)
+    first = laid(d, F.lit(lo), F.lit(hi))
+    place = F.col("lo") + F.col("step") * (F.col("at") - 1)
+    near = first.select(*key, F.greatest(F.lit(lo), place - F.col("step")).alias("_lo"), F.least(F.lit(hi), place + F.col("step")).alias("_hi"))
+    s = laid(by_key(d, near, key), F.col("_lo"), F.col("_hi"))
+    before, best, after = F.get("v", F.col("at") - 2), F.array_min("v"), F.get("v", F.col("at"))
+    bend = before - 2 * best + after
+    lowest = F.when((bend > 0) & (bend < m.INF), best - F.pow(after - before, 2.0) / (8 * bend)).otherwise(best)
+    return s.select(*key, F.when(F.col("n") >= LEAST["entropic_var"], lowest).alias("entropic_var"))
 
 
 def gram(df: DataFrame, assets: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -180,7 +198,10 @@ def absorption_ratio(df: DataFrame, assets: list[str], components: int | None =
 
 
 def arch_effect_test(df: DataFrame, key: list[str], t: str = "t", r: str = "r", lags: int = 12) -> DataFrame:
-    """Engle's test per key: (arch_stat, arch_p, arch_effect) from lagged squares' covariances in one aggregate."""
+    """Engle's test per key: (arch_stat, arch_p, arch_effect) from lagged squares' covariances in one aggregate.
+
+    Null for a key with fewer than lags + 2 values; a key without more than `lags` has no row.
+    """
     d = clean(df, r).withColumn("e", F.pow(F.col(r) - F.avg(r).over(Window.partitionBy(*key)), 2.0))
     d = d.withColumns({f"l{j}": F.lag("e", j).over(Window.partitionBy(*key).orderBy(t)) for j in range(1, lags + 1)}).where(f"l{lags} is not null")
     names = ["e", *(f"l{j}" for j in range(1, lags + 1))]
@@ -192,13 +213,13 @@ def arch_effect_test(df: DataFrame, key: list[str], t: str = "t", r: str = "r",
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                m = np.zeros((lags + 1, lags + 1))
+                cov = np.zeros((lags + 1, lags + 1))
                 for (i, j), v in zip(pairs, row.c, strict=True):
-                    m[i, j] = m[j, i] = v
-                r2 = 0.0 if m[0, 0] <= 0 else float(m[0, 1:] @ np.linalg.pinv(m[1:, 1:]) @ m[0, 1:] / m[0, 0])
+                    cov[i, j] = cov[j, i] = v
+                r2 = 0.0 if cov[0, 0] <= 0 else float(cov[0, 1:] @ np.linalg.pinv(cov[1:, 1:]) @ cov[0, 1:] / cov[0, 0])
                 stat = row.n * r2
                 p = chi2_sf(stat, lags)
-                rows.append([*(getattr(row, k) for k in key), stat, p, p < 0.05])
+                rows.append([*(getattr(row, k) for k in key), *((stat, p, p < 0.05) if row.n >= 2 else (None, None, None))])
             yield pd.DataFrame(rows, columns=[*key, "arch_stat", "arch_p", "arch_effect"])
 
     return s.mapInPandas(work, f"{kinds}, arch_stat double, arch_p double, arch_effect boolean")
@@ -207,22 +228,44 @@ def arch_effect_test(df: DataFrame, key: list[str], t: str = "t", r: str = "r",
 GARCH_ALPHA, GARCH_BETA = 0.10, 0.85  # fixed values of variance targeting
 
 
-def garch_volatility(df: DataFrame, key: list[str], t: str = "t", r: str = "r", *, horizon: int = 1) -> DataFrame:
-    """df with `garch_vol`, and each key's `garch_forecast` of `horizon` periods ahead, by variance targeting."""
+def decayed(x: np.ndarray, start: float, by: float, block: int = 256) -> np.ndarray:
+    """s with s[0] = start and s[i + 1] = by * s[i] + x[i], len(x) + 1 values: a matrix product per row of blocks.
+
+    Only the blocks' last values are carried on one by one.
+    """
+    n = len(x)
+    rows = np.zeros((-(-n // block), block))
+    rows.ravel()[:n] = x
+    age = np.subtract.outer(np.arange(block), np.arange(block))
+    inside = rows @ np.where(age >= 0, by ** np.maximum(age, 0), 0.0).T
+    out, fade = np.empty_like(inside), by ** np.arange(1, block + 1)
+    carry = start
+    for i, row in enumerate(inside):
+        out[i] = row + carry * fade
+        carry = out[i, -1]
+    return np.concatenate([[start], out.ravel()[:n]])
+
+
+def garch_volatility(df: DataFrame, key: list[str], t: str = "t", r: str = "r", *, horizon: int = 1, p: int = 1, q: int = 1) -> DataFrame:
+    """df with `garch_vol`, and each key's `garch_forecast` of `horizon` periods ahead, by variance targeting.
+
+    Both are null for a key with fewer than LEAST values; ValueError for orders other than one.
+    """
+    if (p, q) != (1, 1):
+        raise ValueError("only p = 1 and q = 1 are known")
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in [*key, t])
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
         x = pdf[r].to_numpy(dtype=float)
-        var = x.var(ddof=1) if len(x) > 1 else 0.0
+        if len(x) < LEAST["garch_volatility"]:
+            return pdf[[*key, t]].assign(garch_vol=np.nan, garch_forecast=np.nan)
+        var = x.var(ddof=1)
         omega = var * (1 - GARCH_ALPHA - GARCH_BETA)
-        out = np.empty(len(x))
-        s = var
-        for i, v in enumerate(x):
-            out[i] = s
-            s = omega + GARCH_ALPHA * v * v + GARCH_BETA * s
+        s = decayed(omega + GARCH_ALPHA * x * x, var, GARCH_BETA)
+        ahead = s[-1]
         for _ in range(horizon - 1):
-            s = omega + (GARCH_ALPHA + GARCH_BETA) * s
-        return pdf[[*key, t]].assign(garch_vol=np.sqrt(out), garch_forecast=math.sqrt(s))
+            ahead = omega + (GARCH_ALPHA + GARCH_BETA) * ahead
+        return pdf[[*key, t]].assign(garch_vol=np.sqrt(s[:-1]), garch_forecast=math.sqrt(ahead))
 
     return clean(df, r).select(*key, t, r).groupBy(*key).applyInPandas(work, f"{kinds}, garch_vol double, garch_forecast double")

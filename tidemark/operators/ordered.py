@@ -319,7 +319,7 @@ def outlier_ratios(df: DataFrame, key: Keys, r: str = "r", *, quantile: float =
     return d.groupBy(*key).agg(far(gain, "qw").alias("outlier_win_ratio"), far(loss, "ql").alias("outlier_loss_ratio"))
 
 
-def cvar(df: DataFrame, key: Keys, r: str = "r", *, sigma: float = 1.0, confidence: float = 0.95) -> DataFrame:
+def cvar(df: DataFrame, key: Keys, r: str = "r", *, sigma: float = 1.0, confidence: float | None = None) -> DataFrame:
     """Mean return at or below the parametric VaR, else the least return."""
     from ..functions.metrics import var
 

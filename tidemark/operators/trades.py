@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import get_trade_config
 from ..errors import EmptySeriesError, InsufficientDataError, InvalidDirectionError, InvalidPriceError, InvalidTradeTimesError, MissingColumnError
 from ..functions.metrics import safe_div
 
@@ -147,8 +148,14 @@ def filter_closed_trades(df: DataFrame) -> DataFrame:
     return df.where(F.col("exit_time").isNotNull() & F.col("exit_price").isNotNull())
 
 
-def trade_returns(trades: DataFrame, *, method: str = "simple", include_fees: bool = True) -> DataFrame:
-    """Closed trades with `trade_return`."""
+def configured(**given) -> list:
+    """The values given, those of the trade configuration in place of None."""
+    return [getattr(get_trade_config(), k) if v is None else v for k, v in given.items()]
+
+
+def trade_returns(trades: DataFrame, *, method: str | None = None, include_fees: bool | None = None) -> DataFrame:
+    """Closed trades with `trade_return`; what is None is taken from the trade configuration."""
+    method, include_fees = configured(method=method, include_fees=include_fees)
     d = filter_closed_trades(apply_column_defaults(trades))
     fees = F.col("fees") if include_fees else F.lit(0.0)
     return d.withColumn("trade_return", trade_return(F.col("entry_price"), F.col("exit_price"), F.col("direction"), fees, F.col("quantity"), method))
@@ -208,8 +215,12 @@ def build_equity_curve_no_mtm(trades: DataFrame, initial_capital: float) -> Data
     return build_equity_curve(trades, initial_capital)
 
 
-def trades_to_returns(trades: DataFrame, *, prices: DataFrame | None = None, aggregation: str = "trade", initial_capital: float | None = None, method: str = "simple", include_fees: bool = True, fill_gaps: bool = True, trades_per_year: int | None = None) -> TradeResult:
-    """aggregation: trade, equity, D, W or M. returns has (date, returns), and a row's trade columns in mode trade."""
+def trades_to_returns(trades: DataFrame, *, prices: DataFrame | None = None, aggregation: str = "trade", initial_capital: float | None = None, method: str | None = None, include_fees: bool | None = None, fill_gaps: bool | None = None, trades_per_year: int | None = None) -> TradeResult:
+    """aggregation: trade, equity, D, W or M. returns has (date, returns), and a row's trade columns in mode trade.
+
+    What is None is taken from the trade configuration.
+    """
+    initial_capital, method, include_fees, fill_gaps = configured(initial_capital=initial_capital, method=method, include_fees=include_fees, fill_gaps=fill_gaps)
     validate_trade_dataframe(trades, require_exit=aggregation != "equity", times=True)
     validate_initial_capital(initial_capital, aggregation)
     if prices is not None:
@@ -217,7 +228,7 @@ def trades_to_returns(trades: DataFrame, *, prices: DataFrame | None = None, agg
     d = apply_column_defaults(trades)
     if not include_fees:
         d = d.withColumn("fees", F.lit(0.0))
-    each = trade_returns(d, method=method)
+    each = trade_returns(d, method=method, include_fees=True)  # left out above, if so
     summary = each.agg(
         F.count("*").alias("n_trades"), F.count_if(F.col("trade_return") > 0).alias("n_winning"),
         F.count_if(F.col("trade_return") < 0).alias("n_losing"), F.sum("fees").alias("total_fees"),

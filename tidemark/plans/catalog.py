@@ -500,9 +500,17 @@ def absorption(spark, sf):
     return shown(spark.createDataFrame([row], "ratio double, components int, first double, second double, third double"))
 
 
-@query("entropic_var")
+_EVAR = "ln(avg(exp(-exp(x) * r)) / 0.05) / exp(x)"
+_CELL = "ln(10000) / 200"  # 200 cells over all z, then 400 over the two around the best
+
+
+@query("entropic_var", f"""{cte()}, c AS (SELECT {K}, x, {_EVAR} AS v FROM s, (SELECT ln(0.01) + i * {_CELL} AS x FROM range(201) q(i)) GROUP BY {K}, x),
+  b AS (SELECT {K}, arg_min(x, v) AS top FROM c GROUP BY {K}),
+  f AS (SELECT {K}, x, {_EVAR} AS v FROM (SELECT s.*, least(greatest(top + (i / 200.0 - 1) * {_CELL}, ln(0.01)), ln(100)) AS x FROM s JOIN b USING ({K}), range(401) q(i)) GROUP BY {K}, x)
+  SELECT {K}, round(min(v), 6) + 0.0 AS entropic_var FROM f GROUP BY {K}""")
 def entropic(spark, sf):
-    return shown(models.entropic_var(series.daily(spark, sf), KEY))
+    d = models.entropic_var(series.daily(spark, sf), KEY)
+    return d.withColumn("entropic_var", rounded(F.col("entropic_var"), 6))
 
 
 @query("shapiro_wilk")
@@ -515,6 +523,19 @@ def arch(spark, sf):
     return shown(models.arch_effect_test(series.daily(spark, sf), KEY))
 
 
+_R2 = "(pow(corr(e, e1), 2) + pow(corr(e, e2), 2) - 2 * corr(e, e1) * corr(e, e2) * corr(e1, e2)) / (1 - pow(corr(e1, e2), 2))"
+
+
+@query("arch_effect_two_lags", f"""{cte()}, c AS (SELECT *, pow(r - avg(r) OVER (PARTITION BY {K}), 2) AS e FROM s),
+  l AS (SELECT *, lag(e) OVER (PARTITION BY {K} ORDER BY t) AS e1, lag(e, 2) OVER (PARTITION BY {K} ORDER BY t) AS e2 FROM c),
+  g AS (SELECT {K}, count(*) * {_R2} AS stat FROM l WHERE e2 IS NOT NULL GROUP BY {K})
+  SELECT {K}, round(stat, 6) + 0.0 AS arch_stat, round(exp(-stat / 2), 6) + 0.0 AS arch_p, exp(-stat / 2) < 0.05 AS arch_effect FROM g""")
+def arch_two_lags(spark, sf):
+    """The test by its closed form for two lags, whose statistic has an exponential tail."""
+    d = models.arch_effect_test(series.daily(spark, sf), KEY, lags=2)
+    return d.withColumns({c: rounded(F.col(c), 6) for c in ("arch_stat", "arch_p")})
+
+
 @query("garch_volatility", f"""WITH RECURSIVE {series.DAILY_SQL.format(key=K)}, n AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY t) AS i, var_samp(r) OVER (PARTITION BY {K}) AS v FROM s),
   g AS (SELECT {K}, t, i, r, v, v AS s2 FROM n WHERE i = 1
     UNION ALL SELECT n.l_returnflag, n.l_linestatus, n.t, n.i, n.r, n.v, n.v * (1 - 0.10 - 0.85) + 0.10 * g.r * g.r + 0.85 * g.s2 FROM g JOIN n ON n.l_returnflag = g.l_returnflag AND n.l_linestatus = g.l_linestatus AND n.i = g.i + 1)

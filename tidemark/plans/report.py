@@ -32,7 +32,7 @@ HEADLINE = ("comp", "cagr", "volatility", "sharpe", "sortino", "max_drawdown", "
 
 def full_metrics(
     df: DataFrame, key: list[str], t: str = "t", r: str = "r", b: str | None = None, *, rf: float | None = None, ppy: int | None = None,
-    confidence: float = 0.95, quantile: float = 0.99, shapiro: bool = True,
+    confidence: float | None = None, quantile: float = 0.99, shapiro: bool = True,
 ) -> DataFrame:
     """A row per key, null included, with every metric of SECTIONS as a column (the benchmark's only with b).
 
@@ -66,6 +66,7 @@ def full_metrics(
         "autocorr": o.lagged_ratio(dev, dev_before, 1), "k_ratio": o.trend_ratio(c("_sum"), (c("_n") - 1).cast("double")),
         "cvar": F.coalesce(F.avg(F.when(x <= cut, x)), F.min(x)),
         "outlier_win_ratio": far(F.when(x > 0, x), "_far_win"), "outlier_loss_ratio": far(F.when(x < 0, -x), "_far_loss"),
+        "first_time": F.min(t), "last_time": F.max(t), "points": F.count("*"),
     }
     if shapiro:
         aggregates["_first"] = models.first_values(x, c("_n"))
@@ -99,9 +100,12 @@ def long_form(full: DataFrame, key: list[str]) -> DataFrame:
 
 @dataclass
 class MetricsReport:
-    """The sections of one series, as dicts."""
+    """The sections of one series, as dicts, and its first and last time and number of values."""
 
     sections: dict[str, dict[str, float]]
+    first: object = None
+    last: object = None
+    points: int | None = None
 
     def to_dict(self) -> dict:
         return self.sections
@@ -120,7 +124,8 @@ def report(df: DataFrame, t: str = "t", r: str = "r", b: str | None = None, **op
     if row is None:
         raise EmptySeriesError("the series has no values")
     have = row.asDict()
-    return MetricsReport({s: {n: have[n] for n in names if n in have} for s, names in SECTIONS.items() if names[0] in have})
+    sections = {s: {n: have[n] for n in names if n in have} for s, names in SECTIONS.items() if names[0] in have}
+    return MetricsReport(sections, have["first_time"], have["last_time"], have["points"])
 
 
 PERCENT = ("return", "cagr", "comp", "rate", "drawdown", "volatility", "var", "win", "loss", "alpha", "deviation")
@@ -137,17 +142,23 @@ def shown(name: str, v) -> str:
     return f"{v:.2%}" if any(p in name for p in PERCENT) and "ratio" not in name else f"{v:.4f}"
 
 
+def tone(v) -> str:
+    """A value's class in the page, by its sign."""
+    return "" if not isinstance(v, float) or math.isnan(v) or v == 0 else "up" if v > 0 else "down"
+
+
 def html_report(rep: MetricsReport, title: str = "Metrics of a return series") -> str:
     flat = {n: v for x in rep.sections.values() for n, v in x.items()}
     heads = [k for k in (*HTML_KEYS, "alpha") if k in flat]
     label = lambda n: html.escape(n.replace("_", " "))
-    top = "".join(f'<div class="head"><span>{label(k)}</span><b>{shown(k, flat[k])}</b></div>' for k in heads)
+    top = "".join(f'<div class="head"><span>{label(k)}</span><b class="{tone(flat[k])}">{shown(k, flat[k])}</b></div>' for k in heads)
     cards = "".join(
-        f"<section><h2>{label(s)}</h2><table>{''.join(f'<tr><td>{label(n)}</td><td>{shown(n, v)}</td></tr>' for n, v in x.items())}</table></section>"
+        f"<section><h2>{label(s)}</h2><table>{''.join(f'<tr><td>{label(n)}</td><td class="{tone(v)}">{shown(n, v)}</td></tr>' for n, v in x.items())}</table></section>"
         for s, x in rep.sections.items()
     )
-    style = "body{font-family:sans-serif}.heads{display:flex;gap:2em}.head b{display:block}main{display:grid;grid-template-columns:repeat(3,1fr)}"
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1><div class='heads'>{top}</div><main>{cards}</main></body></html>"
+    style = "body{font-family:sans-serif}.heads{display:flex;gap:2em}.head b{display:block}main{display:grid;grid-template-columns:repeat(3,1fr)}.up{color:#176b3a}.down{color:#a3221c}"
+    span = "" if rep.points is None else f"<p>{html.escape(str(rep.first))} to {html.escape(str(rep.last))}, {rep.points:,} values</p>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{span}<div class='heads'>{top}</div><main>{cards}</main></body></html>"
 
 
 def save_html_report(rep: MetricsReport, path, title: str = "Metrics of a return series"):
